@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from sievework.llm import vec
 from sievework.llm.shingles import shingle_sets, verified
+from sievework.llm.skew import hot_keys, spread
 from sievework.session import written
 
 BANDS = 12
@@ -106,19 +107,9 @@ def runs_of(order: np.ndarray, key: np.ndarray) -> Iterator[tuple[np.ndarray, np
 
 def candidates(sig: DataFrame, similarity: float, bands: int = BANDS, rows: int = ROWS, hot: int = 50_000) -> DataFrame:
     """Distinct pairs (a < b) that share a table and whose other minhashes don't rule the similarity out."""
-    spark = sig.sparkSession
     least = floor(similarity, bands * rows)
-    keyed = sig.select(F.posexplode("groups").alias("i", "g"), "id", "tables", "sketch").select("g", "id", "tables", "sketch", F.lit(-1).alias("only"))
-    total = sig.count() * bands
-    # At most total / threshold groups can be hot, so this list has at most 10,000 entries.
-    threshold = max(hot, total // 10_000)
-    if total > threshold:
-        crowded = [r["g"] for r in sig.select(F.explode("groups").alias("g")).groupBy("g").count().where(F.col("count") > threshold).select("g").collect()]
-        if crowded:
-            listed = spark.createDataFrame([(g,) for g in crowded], "g long")
-            spread = keyed.drop("only").join(F.broadcast(listed), "g").withColumn("only", F.explode(F.sequence(F.lit(0), F.lit(bands - 1))))
-            own = F.conv(F.hex(F.substring("tables", 2 * F.col("only") + 1, F.lit(2))), 16, 10)
-            keyed = keyed.join(F.broadcast(listed), "g", "left_anti").unionByName(spread.withColumn("g", F.xxhash64("g", "only", own)))
+    keyed = sig.select(F.explode("groups").alias("g"), "id", "tables", "sketch")
+    keyed = spread(keyed, "g", hot_keys(keyed, "g", "id", hot), bands, F.substring("tables", 2 * F.col("only") + 1, F.lit(2)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [b for b in batches if b.num_rows]

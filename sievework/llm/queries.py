@@ -11,6 +11,12 @@ from sievework.session import ship, table
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def p1_found(spark: SparkSession, root: str) -> DataFrame:
+    from sievework.llm.history import repeats
+
+    return repeats(table(ship(spark), root, "jobs", "id", "batch_no", "source", "url", "external_id", "description"))
+
+
 def p6_found(spark: SparkSession, root: str) -> DataFrame:
     from sievework.llm.neardup import expanded, near_duplicates
 
@@ -33,6 +39,7 @@ def p9_found(spark: SparkSession, root: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "p1_found": p1_found,
         "p6_found": p6_found,
         "p8_ids": p8_ids,
         "p9_found": p9_found,
