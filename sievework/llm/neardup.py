@@ -51,8 +51,8 @@ def floor(similarity: float, values: int) -> int:
 
 
 def signatures(df: DataFrame, k: int, min_words: int, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """From (id, head, body): id, ``digest`` of the word sequence of head + body, ``groups`` of the first collection,
-    ``tables`` (2 bytes per group of the second) and ``sketch`` (1 byte per minhash of the second). Rows whose body has
+    """From (id, head, body): id, ``digest`` of the word sequence of head + body, ``groups`` of the first collection
+    and ``sketch``, one byte per minhash of the second: ``rows`` neighbouring bytes are a group of it. Rows whose body has
     fewer than ``min_words`` words are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -72,23 +72,18 @@ def signatures(df: DataFrame, k: int, min_words: int, bands: int = BANDS, rows:
                 groups = np.zeros((len(keep), bands), np.uint64)
                 for r in range(rows):
                     groups = vec.mix(groups + first_part[:, :, r] + salt)
-                second = low[:, bands * rows :].reshape(len(keep), bands, rows).astype(np.uint64)
-                tables = np.zeros((len(keep), bands), np.uint64)
-                for r in range(rows):
-                    tables = vec.mix(tables + second[:, :, r] + salt)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).take(pa.array(keep + start)),
                         pa.array(vec.int64(digest[keep])),
                         vec.list_array(vec.int64(groups.reshape(-1)), np.arange(len(keep) + 1) * bands, pa.int64()),
-                        vec.fixed_binary(tables.astype(np.uint16).view(np.uint8)),
                         vec.fixed_binary(low[:, bands * rows :].astype(np.uint8)),
                     ],
-                    ["id", "digest", "groups", "tables", "sketch"],
+                    ["id", "digest", "groups", "sketch"],
                 )
 
     return df.select("id", F.coalesce("head", F.lit("")).alias("head"), F.concat_ws(" ", F.coalesce("head", F.lit("")), F.coalesce("body", F.lit(""))).alias("text")).mapInArrow(
-        run, "id long, digest long, groups array<long>, tables binary, sketch binary"
+        run, "id long, digest long, groups array<long>, sketch binary"
     )
 
 
@@ -108,8 +103,8 @@ def runs_of(order: np.ndarray, key: np.ndarray) -> Iterator[tuple[np.ndarray, np
 def candidates(sig: DataFrame, similarity: float, bands: int = BANDS, rows: int = ROWS, hot: int = 50_000) -> DataFrame:
     """Distinct pairs (a < b) that share a table and whose other minhashes don't rule the similarity out."""
     least = floor(similarity, bands * rows)
-    keyed = sig.select(F.explode("groups").alias("g"), "id", "tables", "sketch")
-    keyed = spread(keyed, "g", hot_keys(keyed, "g", "id", hot), bands, F.substring("tables", 2 * F.col("only") + 1, F.lit(2)))
+    keyed = sig.select(F.explode("groups").alias("g"), "id", "sketch")
+    keyed = spread(keyed, "g", hot_keys(keyed, "g", "id", hot), bands, F.substring("sketch", rows * F.col("only") + 1, F.lit(rows)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [b for b in batches if b.num_rows]
@@ -118,14 +113,16 @@ def candidates(sig: DataFrame, similarity: float, bands: int = BANDS, rows: int
         whole = pa.Table.from_batches(got).combine_chunks()
         g = whole.column(0).to_numpy().view(np.uint64)
         ids = whole.column(1).to_numpy()
-        tables = vec.binary_rows(whole.column(2), 2 * bands).copy().view(np.uint16)
-        sketch = vec.binary_rows(whole.column(3), bands * rows)
-        only = whole.column(4).to_numpy()
+        sketch = vec.binary_rows(whole.column(2), bands * rows)
+        only = whole.column(3).to_numpy()
         del whole, got
         out = []
         for j in range(bands):
             at = np.flatnonzero((only < 0) | (only == j))
-            key = vec.mix(g[at] + tables[at, j].astype(np.uint64) * np.uint64(vec.BASE))
+            second = np.zeros(len(at), np.uint64)
+            for r in range(rows):
+                second = (second << np.uint64(8)) | sketch[at, rows * j + r]
+            key = vec.mix(g[at] + second * np.uint64(vec.BASE))
             order = np.argsort(key, kind="stable")
             for x, y in runs_of(order, key):
                 x, y = at[x], at[y]

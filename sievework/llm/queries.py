@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from sievework.session import ship, table
 
@@ -17,6 +18,15 @@ def p1_found(spark: SparkSession, root: str) -> DataFrame:
     return repeats(table(ship(spark), root, "jobs", "id", "batch_no", "source", "url", "external_id", "description"))
 
 
+def p4_found(spark: SparkSession, root: str) -> DataFrame:
+    from sievework.llm.canonical import Places, Titles, mapped
+
+    jobs = table(ship(spark), root, "jobs", "id", "location", "title")
+    places = mapped(jobs, "id", "location", table(spark, root, "ref_places", "place_id", "city", "region", "region_code", "country"), Places)
+    titles = mapped(jobs, "id", "title", table(spark, root, "ref_titles", "title_id", "title"), Titles)
+    return places.select("id", F.lit("location").alias("field"), "ref_id").unionByName(titles.select("id", F.lit("title").alias("field"), "ref_id"))
+
+
 def p6_found(spark: SparkSession, root: str) -> DataFrame:
     from sievework.llm.neardup import expanded, near_duplicates
 
@@ -40,6 +50,7 @@ def p9_found(spark: SparkSession, root: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "p1_found": p1_found,
+        "p4_found": p4_found,
         "p6_found": p6_found,
         "p8_ids": p8_ids,
         "p9_found": p9_found,
