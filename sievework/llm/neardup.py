@@ -52,7 +52,7 @@ def floor(similarity: float, values: int) -> int:
 
 def signatures(df: DataFrame, k: int, min_words: int, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """From (id, head, body): id, ``digest`` of the word sequence of head + body, ``groups`` of the first collection
-    and ``sketch``, one byte per minhash of the second: ``rows`` neighbouring bytes are a group of it. Rows whose body has
+    and ``sketch``, one byte per minhash: in its second half ``rows`` neighbouring bytes are a group of the second. Rows whose body has
     fewer than ``min_words`` words are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -77,7 +77,7 @@ def signatures(df: DataFrame, k: int, min_words: int, bands: int = BANDS, rows:
                         batch.column(0).take(pa.array(keep + start)),
                         pa.array(vec.int64(digest[keep])),
                         vec.list_array(vec.int64(groups.reshape(-1)), np.arange(len(keep) + 1) * bands, pa.int64()),
-                        vec.fixed_binary(low[:, bands * rows :].astype(np.uint8)),
+                        vec.fixed_binary(low.astype(np.uint8)),
                     ],
                     ["id", "digest", "groups", "sketch"],
                 )
@@ -102,9 +102,10 @@ def runs_of(order: np.ndarray, key: np.ndarray) -> Iterator[tuple[np.ndarray, np
 
 def candidates(sig: DataFrame, similarity: float, bands: int = BANDS, rows: int = ROWS, hot: int = 50_000) -> DataFrame:
     """Distinct pairs (a < b) that share a table and whose other minhashes don't rule the similarity out."""
-    least = floor(similarity, bands * rows)
+    half = bands * rows
+    least = floor(similarity, 2 * half)
     keyed = sig.select(F.explode("groups").alias("g"), "id", "sketch")
-    keyed = spread(keyed, "g", hot_keys(keyed, "g", "id", hot), bands, F.substring("sketch", rows * F.col("only") + 1, F.lit(rows)))
+    keyed = spread(keyed, "g", hot_keys(keyed, "g", "id", hot), bands, F.substring("sketch", half + rows * F.col("only") + 1, F.lit(rows)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [b for b in batches if b.num_rows]
@@ -113,15 +114,15 @@ def candidates(sig: DataFrame, similarity: float, bands: int = BANDS, rows: int
         whole = pa.Table.from_batches(got).combine_chunks()
         g = whole.column(0).to_numpy().view(np.uint64)
         ids = whole.column(1).to_numpy()
-        sketch = vec.binary_rows(whole.column(2), bands * rows)
-        only = whole.column(3).to_numpy()
+        sketch = vec.binary_rows(whole.column(2), 2 * half)
+        only = whole.column(3).to_numpy() if whole.num_columns > 3 else np.full(len(ids), -1)
         del whole, got
         out = []
         for j in range(bands):
             at = np.flatnonzero((only < 0) | (only == j))
             second = np.zeros(len(at), np.uint64)
             for r in range(rows):
-                second = (second << np.uint64(8)) | sketch[at, rows * j + r]
+                second = (second << np.uint64(8)) | sketch[at, half + rows * j + r]
             key = vec.mix(g[at] + second * np.uint64(vec.BASE))
             order = np.argsort(key, kind="stable")
             for x, y in runs_of(order, key):

@@ -27,6 +27,15 @@ def p4_found(spark: SparkSession, root: str) -> DataFrame:
     return places.select("id", F.lit("location").alias("field"), "ref_id").unionByName(titles.select("id", F.lit("title").alias("field"), "ref_id"))
 
 
+def p5_found(spark: SparkSession, root: str) -> DataFrame:
+    from sievework.llm.names import linked_rows
+
+    jobs, companies = table(ship(spark), root, "jobs", "id", "company"), table(spark, root, "companies", "company_id", "name")
+    rows = jobs.select(F.lit("jobs").alias("tbl"), F.col("id").alias("row_id"), F.col("company").alias("name"))
+    rows = rows.unionByName(companies.select(F.lit("companies").alias("tbl"), F.col("company_id").alias("row_id"), "name"))
+    return linked_rows(rows, companies)
+
+
 def p6_found(spark: SparkSession, root: str) -> DataFrame:
     from sievework.llm.neardup import expanded, near_duplicates
 
@@ -51,6 +60,7 @@ def queries() -> dict[str, Query]:
     return {
         "p1_found": p1_found,
         "p4_found": p4_found,
+        "p5_found": p5_found,
         "p6_found": p6_found,
         "p8_ids": p8_ids,
         "p9_found": p9_found,

@@ -23,11 +23,11 @@ def hot_keys(df: DataFrame, key: str, row_id: str, hot: int) -> DataFrame | None
 
 
 def spread(df: DataFrame, key: str, hot: DataFrame | None, parts: int, part_value: Column) -> DataFrame:
-    """Add ``only`` (-1, or a part 0..parts-1) and, for rows with a hot key, replace each row by one row per part whose
-    key also depends on ``part_value`` (an expression over ``only``)."""
-    plain = df.withColumn("only", F.lit(-1).cast("byte"))
+    """Where keys are hot, add ``only`` (-1, or a part 0..parts-1) and replace each row with a hot key by one row per part
+    whose key also depends on ``part_value`` (an expression over ``only``)."""
     if hot is None:
-        return plain
+        return df
+    plain = df.withColumn("only", F.lit(-1).cast("byte"))
     listed = F.broadcast(hot)  # at most 20,000 longs, see hot_keys
-    cut = df.join(listed, key, "left_semi").withColumn("only", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).cast("byte")).withColumn(key, F.xxhash64(key, "only", part_value))
+    cut = df.join(listed, key, "left_semi").withColumn("only", F.explode(F.array(*[F.lit(i).cast("byte") for i in range(parts)]))).withColumn(key, F.xxhash64(key, "only", part_value))
     return plain.join(listed, key, "left_anti").unionByName(cut)
