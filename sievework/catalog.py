@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from sievework.plans import cleaning
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -14,7 +16,7 @@ def flagship(spark: SparkSession, root: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return {**cleaning.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
