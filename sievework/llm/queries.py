@@ -56,6 +56,12 @@ def p9_found(spark: SparkSession, root: str) -> DataFrame:
     return leaks(docs, "doc_id", "text", items, "item_id", "text").select("doc_id", "item_id").distinct()
 
 
+def p10_found(spark: SparkSession, root: str) -> DataFrame:
+    from sievework.llm.spam import stuffed
+
+    return stuffed(table(ship(spark), root, "documents", "doc_id", "text"), "doc_id", "text").where("spam").select("doc_id")
+
+
 def queries() -> dict[str, Query]:
     return {
         "p1_found": p1_found,
@@ -64,4 +70,5 @@ def queries() -> dict[str, Query]:
         "p6_found": p6_found,
         "p8_ids": p8_ids,
         "p9_found": p9_found,
+        "p10_found": p10_found,
     }
