@@ -6,18 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sievework.plans import cleaning
+from sievework.plans import analytics, cleaning, streams
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def flagship(spark: SparkSession, root: str) -> DataFrame:
-    return spark.read.parquet(f"{root}/jobs.parquet").groupBy("source").count()
+    return analytics.score_jobs(spark, root)
 
 
 def queries() -> dict[str, Query]:
-    return {**cleaning.QUERIES}
+    return {**cleaning.QUERIES, **analytics.QUERIES, **streams.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return analytics.SQL | streams.SQL
