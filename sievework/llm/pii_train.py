@@ -1,8 +1,9 @@
 """Training of the tagger of ``pii``: labelled spans from templates, and a BiLSTM-CRF fitted with Adam, all in numpy.
 
-    python -m sievework.llm.pii_train [minutes]
+    python -m sievework.llm.pii_train MINUTES            from random weights
+    python -m sievework.llm.pii_train MINUTES resume     on from the stored weights, at half the learning rate
 
-The training rows are made here (EXAMPLES per epoch-less stream, fixed seed); no table is read.
+The training rows are an endless stream made here with a fixed seed; no table is read.
 """
 
 from __future__ import annotations
@@ -148,6 +149,9 @@ class Maker:
             words.insert(self.r.randint(0, len(words)), self.r.choice([self.made(2, 3), self.org(), "Pinwheel CRM", "Sundial ERP"]))
         return " ".join(words)
 
+    def trait(self) -> str:
+        return self.pick("hands-on level-headed self-directed plain-spoken calm curious patient cheerful numerate observant methodical thoughtful flexible punctual".split())
+
     def decoy(self) -> str:
         """Sentences that look like personal data but hold none."""
         d, ch, r = self.digits, self.r.choice, self.r
@@ -162,6 +166,12 @@ class Maker:
                 f"the post has been up for {d(2)} months and nobody replies about social media rater work", f"pay was said to be {d(3)} a day for remote assistant work", f"Since {self.made(2, 3)} opened we label purchase orders for {d(3)} customers in {d(2)} towns.",
                 f"the contact pushed me to text message only and mentioned {self.made(2, 3)}", f"link leads to a page with a free mail address and a form for bank data", f"No interview for this social media rater post, we settle everything over a video call.",
                 f"Real company, i visited the {ch(['riverside depot', 'north warehouse', 'east annex'])} and met the {ch(['night crew', 'claims desk', 'survey crew'])}", f"Your first {d(2)} parcels arrive at home and you forward them as a data typist.",
+                f"A {self.trait()} colleague from {self.made(2, 3)} will teach you {ch(['Sundial ERP', 'Pinwheel CRM', self.made(2, 3)])} quietly.", f"At {self.org()}, {self.trait()} people find a travel card and steady work.",
+                f"You are {self.trait()}, you like {self.plain(1, 3)}, and you do not mind the winter peak.", f"{ch(['Contact', 'contact'])} pushed me {ch(['by hand', 'on request', 'rarely', 'as agreed'])} to {ch(['a voice note', 'an encrypted chat', 'a video call with no camera'])} and mentioned {self.made(2, 3)}",
+                f"{ch(['Someone', 'someone'])} used the {self.made(2, 3)} logo to hire a {ch(['data typist', 'form processor', 'package inspector'])}", f"You bring {d(1)} years of wound care and a {self.trait()} way of working with the {ch(['claims desk', 'night crew', 'survey crew'])}.",
+                f"For {self.made(2, 3)} we look for a {self.trait()} person with ledger review and {d(1)} years in a similar post.", f"Our yardstick is {ch(['less rework', 'fuller classrooms'])}: last year the {ch(['night crew', 'loading dock'])} improved it by {d(2)} percent.",
+                f"Figures in the header are {ch(['US dollars', 'euros', 'British pounds'])} and apply {ch(['a year', 'a month'])}.", f"Within {d(1)} months you run claims triage for two sites near the ring road on your own.", f"People in {self.plain(1, 3)} report offers with a free mail address more often than others.",
+                f"Send your bank login to confirm the social media rater contract with {self.made(2, 3)}.", f"The role was created after {self.made(2, 3)} grew by {d(2)} percent and the ward sisters asked for help.", f"They wanted {ch(['a starter kit fee', 'an equipment advance'])} before i could start as {ch(['survey taker', 'app tester'])}",
                 f"Invoice no. {d(4)}-{d(4)} for {self.org()} was sent on {d(2)}.{d(2)}.20{d(2)}.", f"Case {ch('ABXK')}{d(6)} and ticket #{d(7)} are closed.", f"Serial {d(4)} {d(4)} {d(4)}, batch {ch('ABC')}-{d(5)}.", self.plain(6, 20) + ".",
             ]
         )
@@ -338,9 +348,9 @@ def loss_and_gradient(w: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, le
     return float((total - gold).mean()), {k: v / n for k, v in grad.items()}
 
 
-def train(minutes: float, path: str = WEIGHTS, seed: int = SEED) -> None:
+def train(minutes: float, path: str = WEIGHTS, seed: int = SEED, resume: bool = False, top_rate: float = 4e-3) -> None:
     maker, rng = Maker(seed), np.random.default_rng(seed)
-    w = initial(rng)
+    w = dict(np.load(path)) if resume else initial(rng)
     m, v = ({k: np.zeros_like(a) for k, a in w.items()} for _ in range(2))
     began, step, mean = time.time(), 0, None
     pool: list[tuple[np.ndarray, np.ndarray]] = []
@@ -360,7 +370,7 @@ def train(minutes: float, path: str = WEIGHTS, seed: int = SEED) -> None:
         step += 1
         norm = np.sqrt(sum(float((g**2).sum()) for g in grad.values()))
         clip = min(1.0, 5.0 / (norm + 1e-9))
-        rate = 4e-3 * min(1, step / 50) * (1 - done) ** 0.7 + 1e-5
+        rate = top_rate * min(1, step / 50) * (1 - done) ** 0.7 + 1e-5
         for k in w:
             g = grad[k] * clip
             m[k] = 0.9 * m[k] + 0.1 * g
@@ -374,4 +384,5 @@ def train(minutes: float, path: str = WEIGHTS, seed: int = SEED) -> None:
 
 
 if __name__ == "__main__":
-    train(float(sys.argv[1]) if len(sys.argv) > 1 else 15)
+    again = sys.argv[2:] == ["resume"]
+    train(float(sys.argv[1]) if len(sys.argv) > 1 else 20, seed=SEED + again, resume=again, top_rate=2e-3 if again else 4e-3)

@@ -18,6 +18,25 @@ def p1_found(spark: SparkSession, root: str) -> DataFrame:
     return repeats(table(ship(spark), root, "jobs", "id", "batch_no", "source", "url", "external_id", "description"))
 
 
+def _findings(spark: SparkSession, root: str) -> DataFrame:
+    from sievework.llm.pii import findings
+
+    jobs = findings(table(ship(spark), root, "jobs", "id", "description"), "id", "description").withColumnRenamed("id", "row_id")
+    reports = findings(table(spark, root, "user_reports", "report_id", "reason"), "report_id", "reason").withColumnRenamed("report_id", "row_id")
+    return jobs.withColumn("tbl", F.lit("jobs")).unionByName(reports.withColumn("tbl", F.lit("user_reports")))
+
+
+def p3_found(spark: SparkSession, root: str) -> DataFrame:
+    return _findings(spark, root).select("tbl", "row_id", "kind", "pii_text").distinct()
+
+
+def p3_masked(spark: SparkSession, root: str) -> DataFrame:
+    """Reports with placeholders in place of personal data."""
+    from sievework.llm.pii import masked
+
+    return masked(table(ship(spark), root, "user_reports", "report_id", "reason"), "report_id", "reason")
+
+
 def p4_found(spark: SparkSession, root: str) -> DataFrame:
     from sievework.llm.canonical import Places, Titles, mapped
 
@@ -65,6 +84,8 @@ def p10_found(spark: SparkSession, root: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "p1_found": p1_found,
+        "p3_found": p3_found,
+        "p3_masked": p3_masked,
         "p4_found": p4_found,
         "p5_found": p5_found,
         "p6_found": p6_found,
