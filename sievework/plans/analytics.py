@@ -382,8 +382,7 @@ def text_days_ago(spark, root):
     return table(spark, root, "postings", "posted_date").groupBy(T.days_ago(F.col("posted_date")).alias("days")).agg(F.count("*").alias("n"))
 
 
-@query("""WITH c AS (SELECT company_id, name, left(name, 4) AS block FROM (SELECT company_id, regexp_replace(lower(name), '[^a-z0-9 ]', '', 'g') AS name FROM companies) WHERE length(name) >= 4)
-SELECT a.company_id AS a, b.company_id AS b, round(jaro_winkler_similarity(a.name, b.name), 6) AS similarity FROM c a JOIN c b ON a.block = b.block AND a.company_id < b.company_id WHERE jaro_winkler_similarity(a.name, b.name) >= 0.9""")
+@query()
 def text_similar_names(spark, root):
     from sievework.functions.similarity import jaro_winkler_udf
 

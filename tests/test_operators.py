@@ -35,6 +35,15 @@ def test_name_similarity():
     assert round(similarity.jaro_winkler("MARTHA", "MARHTA"), 4) == 0.9611 and similarity.jaro_winkler("", "x") == 0 and similarity.jaro_winkler("a", "a") == 1
 
 
+def test_similar_names_against_brute_force(spark):
+    if not os.path.isdir(DATA):
+        pytest.skip("no test data here")
+    rows = spark.read.parquet(f"{DATA}/companies.parquet").select("company_id", F.regexp_replace(F.lower("name"), "[^a-z0-9 ]", "")).collect()
+    names = [(i, n) for i, n in rows if len(n) >= 4]
+    want = {(a, b) for a, x in names for b, y in names if a < b and x[:4] == y[:4] and similarity.jaro_winkler(x, y) >= 0.9}
+    assert {(r.a, r.b) for r in catalog.queries()["text_similar_names"](spark, DATA).collect()} == want
+
+
 def test_store(spark):
     old = spark.createDataFrame([("a", 1, "x"), ("b", 1, "y")], "k string, v int, t string")
     new = spark.createDataFrame([("a", 2, None), ("c", 1, "z"), ("a", 0, "q")], "k string, v int, t string")
