@@ -89,3 +89,54 @@ def distribution_shift(before: DataFrame, after: DataFrame, name: str, weight: s
     m = (F.col("p") + F.col("q")) / 2
     part = lambda x: F.when(x > 0, x * F.log2(x / m)).otherwise(F.lit(0.0))
     return shares.select(name, "p", "q", ((part(F.col("p")) + part(F.col("q"))) / 2).alias("jsd"), ((F.col("q") + smooth) * F.log((F.col("q") + smooth) / (F.col("p") + smooth))).alias("kl"))
+
+
+def conditional_information(df: DataFrame, x: str, y: str, z: str) -> DataFrame:
+    """Mutual information in bits of two columns given a third, from one three-way contingency table."""
+    cells = df.groupBy(x, y, z).agg(F.count("*").alias("n"))
+    over = lambda *c: F.sum("n").over(W.partitionBy(*c))
+    # cells has one row per combination of values
+    parts = cells.select("n", over(x, z).alias("nxz"), over(y, z).alias("nyz"), over(z).alias("nz"), F.sum("n").over(W.partitionBy(F.lit(1))).alias("total"))
+    return parts.agg(F.sum(F.col("n") / F.col("total") * F.log2(F.col("n") * F.col("nz") / (F.col("nxz") * F.col("nyz")))).alias("bits"))
+
+
+def minimal_set(df: DataFrame, features: dict[str, Column], label: Column, share: float = 0.9, most: int = 8) -> list[tuple[str, float]]:
+    """Greedy choice of features: each time the one that adds most information about the label given the chosen ones,
+    until ``share`` of all features' joint information is reached. Every step is one aggregate over the combinations that
+    occur; the driver sees one number per candidate. ``features`` are boolean expressions."""
+    bits = df.groupBy(*[c.cast("int").alias(n) for n, c in features.items()], label.cast("int").alias("_y")).agg(F.count("*").alias("_n"))
+
+    def information(names: list[str]) -> Column:
+        key = F.concat_ws(",", *[F.coalesce(F.col(n).cast("string"), F.lit("-")) for n in names]) if names else F.lit("")
+        return key
+
+    def joint(names: list[str]) -> float:
+        cells = bits.groupBy(information(names).alias("x"), "_y").agg(F.sum("_n").alias("n"))
+        w = lambda *c: F.sum("n").over(W.partitionBy(*c))
+        row = cells.select("n", w("x").alias("a"), w("_y").alias("b"), F.sum("n").over(W.partitionBy(F.lit(1))).alias("t")).agg(F.sum(F.col("n") / F.col("t") * F.log2(F.col("n") * F.col("t") / (F.col("a") * F.col("b")))).alias("v")).head()
+        return row["v"] or 0.0
+
+    whole, chosen, have = joint(list(features)), [], 0.0
+    while len(chosen) < min(most, len(features)) and have < share * whole - 1e-12:
+        gains = [(joint([c for c, _ in chosen] + [n]), n) for n in sorted(features) if n not in {c for c, _ in chosen}]
+        best, name = max(gains, key=lambda g: (round(g[0], 12), [-ord(c) for c in g[1]]))
+        if best - have < 1e-9:
+            break
+        chosen.append((name, best))
+        have = best
+    return chosen
+
+
+def gap_ratio(df: DataFrame, items: Column, missed: Column) -> DataFrame:
+    """(item, caught, missed, ratio): how often items stand in missed and in caught positives; ratio is missed over
+    caught + 1. Items of one side only are kept."""
+    rows = df.select(F.explode(F.array_distinct(items)).alias("item"), missed.alias("m")).where("m is not null")
+    n = rows.groupBy("item").agg(F.count_if(~F.col("m")).alias("caught"), F.count_if(F.col("m")).alias("missed"))
+    return n.select("*", (F.col("missed") / (F.col("caught") + 1)).alias("ratio"))
+
+
+def cascade_preview(df: DataFrame, old: Column, new: Column, level) -> DataFrame:
+    """What another scoring changes: rows, rows that move to another level, mean and spread of the difference, largest
+    rise and fall. ``level`` maps a score to its level."""
+    rows = df.select(old.alias("o"), new.alias("n")).where("o is not null and n is not null").select("o", "n", (level(F.col("o")) != level(F.col("n"))).alias("moved"), (F.col("n") - F.col("o")).alias("d"))
+    return rows.agg(F.count("*").alias("rows"), F.count_if("moved").alias("moved"), F.avg("d").alias("mean"), F.stddev_samp("d").alias("spread"), F.max("d").alias("rise"), F.min("d").alias("fall"))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievework.functions import text as T
-from sievework.operators import graph, quality, scoring, series, store
+from sievework.operators import graph, quality, scoring, series, store, style
 from sievework.session import ship, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -499,3 +499,60 @@ def vector_nearest_centroid(spark, root):
     distance = lambda c: F.round(F.sqrt(F.aggregate(F.zip_with("embedding", c["m"], lambda a, b: (a.cast("double") - b) * (a.cast("double") - b)), F.lit(0.0), lambda s, x: s + x)), 6)
     best = rows.join(F.broadcast(packed)).select("vec_id", F.array_min(F.transform("centres", lambda c: F.struct(distance(c).alias("d"), c["label"].alias("label")))).alias("b"))
     return best.select("vec_id", F.col("b.label").alias("label"), F.col("b.d").alias("distance"))
+
+
+# ---- more of quality and style ----------------------------------------------------------------------------------
+
+
+@query("""WITH c AS (SELECT risk_level, is_remote, source, count(*) AS n FROM jobs GROUP BY 1, 2, 3), m AS (SELECT n, sum(n) OVER (PARTITION BY risk_level, source) AS a, sum(n) OVER (PARTITION BY is_remote, source) AS b,
+sum(n) OVER (PARTITION BY source) AS z, sum(n) OVER () AS t FROM c) SELECT round(sum(n / t * log2(n * z / (a * b))), 6) AS bits FROM m""")
+def quality_conditional_information(spark, root):
+    return quality.conditional_information(table(spark, root, "jobs", "risk_level", "is_remote", "source"), "risk_level", "is_remote", "source").select(r6("bits").alias("bits"))
+
+
+@query(f"""WITH r AS (SELECT f, our_prediction < 0.5 AS m FROM (SELECT list_distinct(regexp_extract_all(lower(coalesce(reason, '')), '[a-z]+')) AS f, our_prediction FROM user_reports WHERE is_scam = 1) WHERE our_prediction IS NOT NULL),
+x AS (SELECT unnest(f) AS item, m FROM r) SELECT item, count_if(NOT m) AS caught, count_if(m) AS missed, round(count_if(m) / (count_if(NOT m) + 1), 6) AS ratio FROM x GROUP BY item""")
+def quality_gaps(spark, root):
+    reports = table(spark, root, "user_reports", "is_scam", "our_prediction", "reason").where("is_scam = 1")
+    return quality.gap_ratio(reports, T.tokens(F.col("reason")), F.col("our_prediction") < 0.5).select("item", "caught", "missed", r6("ratio").alias("ratio"))
+
+
+@query("""WITH r AS (SELECT scam_score AS o, least(scam_score * 1.2e0, 1e0) AS n FROM jobs WHERE scam_score IS NOT NULL), l AS (SELECT *, n - o AS d,
+CASE WHEN o < 0.2 THEN 1 WHEN o < 0.4 THEN 2 WHEN o < 0.6 THEN 3 WHEN o < 0.8 THEN 4 ELSE 5 END <> CASE WHEN n < 0.2 THEN 1 WHEN n < 0.4 THEN 2 WHEN n < 0.6 THEN 3 WHEN n < 0.8 THEN 4 ELSE 5 END AS moved FROM r)
+SELECT count(*) AS rows, count_if(moved) AS moved, round(avg(d), 6) AS mean, round(stddev_samp(d), 6) AS spread, round(max(d), 6) AS rise, round(min(d), 6) AS fall FROM l""")
+def quality_cascade_preview(spark, root):
+    out = quality.cascade_preview(table(spark, root, "jobs", "scam_score"), F.col("scam_score"), F.least(F.col("scam_score") * 1.2, F.lit(1.0)), scoring.risk)
+    return out.select("rows", "moved", *[r6(c).alias(c) for c in ("mean", "spread", "rise", "fall")])
+
+
+@query()
+def quality_minimal_set(spark, root):
+    reports = table(spark, root, "user_reports", "reason", "is_scam")
+    low = F.lower(F.coalesce(F.col("reason"), F.lit("")))
+    words = ("gift", "fine", "slow", "crypto", "real", "wire", "vouchers")
+    chosen = quality.minimal_set(reports.where("is_scam is not null"), {w: low.contains(w) for w in words}, F.col("is_scam") == 1)
+    return spark.createDataFrame([(i + 1, n, round(b, 6)) for i, (n, b) in enumerate(chosen)], "step int, feature string, bits double")
+
+
+_STYLE = r"""WITH t AS (SELECT doc_id, doc_type, crawled_at, coalesce(text, '') AS x, regexp_extract_all(lower(coalesce(text, '')), '[a-z]+') AS w FROM documents)"""
+
+
+@query(_STYLE + r""", s AS (SELECT doc_id, doc_type, list_sum(list_transform(w, lambda a: len(a))) / len(w) AS a, len(w) / greatest(1, len(regexp_extract_all(x, '[.!?]+(\s|$)'))) AS b, len(list_distinct(w)) / len(w) AS c FROM t WHERE len(w) > 0)
+SELECT doc_type, count(*) AS n, round(avg(a), 6) AS word_length, round(avg(b), 6) AS sentence_length, round(avg(c), 6) AS variety FROM s GROUP BY doc_type""")
+def style_centroids(spark, root):
+    rows = table(spark, root, "documents", "doc_id", "doc_type", "text").select("doc_type", style.fingerprint(F.col("text")).alias("v"))
+    out = style.centroids(rows, "doc_type", "v")
+    return out.select("doc_type", "n", *[r6(F.element_at("centre", i + 1)).alias(c) for i, c in enumerate(("word_length", "sentence_length", "variety"))])
+
+
+@query()
+def style_shifts(spark, root):
+    rows = table(spark, root, "documents", "doc_id", "source", "text").select("source", "doc_id", style.fingerprint(F.col("text")).alias("v")).where("v is not null")
+    return style.shifts(rows, "source", "doc_id", "v").select("source", "doc_id", r6("shift").alias("shift"))
+
+
+@query(r"""WITH t AS (SELECT item_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z]+') AS w FROM eval_items), g AS (SELECT item_id, list_distinct([w[i] || ' ' || w[i + 1] FOR i IN range(1, len(w))]) AS s FROM t WHERE len(w) > 1)
+SELECT x.item_id AS a, y.item_id AS b, round(len(list_intersect(x.s, y.s)) / len(list_distinct(list_concat(x.s, y.s))), 6) AS similarity FROM g x JOIN g y ON x.item_id < y.item_id
+WHERE len(list_intersect(x.s, y.s)) / len(list_distinct(list_concat(x.s, y.s))) >= 0.4""")
+def style_families(spark, root):
+    return style.families(table(spark, root, "eval_items", "item_id", "text"), "item_id", "text", 0.4).select("a", "b", r6("similarity").alias("similarity"))

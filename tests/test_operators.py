@@ -133,3 +133,36 @@ def test_query_equals_sql(spark, name):
     columns = [c[0] for c in want.description]
     assert sorted(df.columns) == sorted(columns)
     assert rows_of(df.columns, df.collect()) == rows_of(columns, want.fetchall())
+
+
+def test_style(spark):
+    from sievework.operators import style
+
+    df = spark.createDataFrame([(1, "a", "One two three. Four, five!"), (2, "a", "one"), (3, "a", None), (4, "b", "")], "i int, g string, t string").select("i", "g", style.fingerprint(F.col("t")).alias("v"))
+    got = {r.i: r.v for r in df.collect()}
+    assert len(got[1]) == 4 + len(style.MARKS) + len(style.FUNCTION_WORDS) and got[1][1] == 2.5 and got[3] is None and got[4] is None
+    moved = {r.i: r["shift"] for r in style.shifts(df.where("v is not null"), "g", "i", "v").collect()}
+    assert moved[1] is None and round(moved[2], 9) == round(math.dist(got[1], got[2]), 9)
+    texts = [(1, "the cat sat on the mat today"), (2, "the cat sat on the mat now"), (3, "the cat sat on the mat today"), (4, "nothing in common here"), (5, None), (6, "word")]
+    pairs = {(r.a, r.b): r.similarity for r in style.families(spark.createDataFrame(texts, "k int, t string"), "k", "t", 0.6).collect()}
+    assert set(pairs) == {(1, 2), (1, 3), (2, 3)} and pairs[1, 3] == 1.0
+
+
+def test_minimal_set(spark):
+    rows = [(i % 2, i % 2, (i // 2) % 2, 1) for i in range(40)]
+    df = spark.createDataFrame(rows, "y int, a int, b int, c int")
+    chosen = quality.minimal_set(df, {n: F.col(n) == 1 for n in "abc"}, F.col("y") == 1)
+    assert [n for n, _ in chosen] == ["a"] and round(chosen[0][1], 9) == 1
+
+
+def test_streams_equal_batch(spark, tmp_path):
+    from sievework.streaming import events as S
+
+    rows = spark.createDataFrame([("a", 1, 2.0), ("a", 2, 4.0), ("b", 1, 1.0), ("a", 86_400, 8.0), ("a", 2, 4.0)], "k string, t long, v double").select("k", F.timestamp_seconds("t").alias("at"), F.col("v").alias("value"))
+    path = str(tmp_path / "events.parquet")
+    rows.coalesce(1).write.parquet(path)
+    counted = S.drained(S.windowed(S.stream_of(spark, path), "at", "k", "1 day", "10 days"), "w", "complete")
+    assert {(r.k, r.start_us, r.n) for r in counted.collect()} == {("a", 0, 3), ("b", 0, 1), ("a", 86_400_000_000, 1)}
+    assert S.drained(S.first_seen(S.stream_of(spark, path), "at", ["k"], "10 days").select("k"), "f", "append").count() == 2
+    last = {r.k: (r.n, r.ema) for r in S.drained(S.running_average(S.stream_of(spark, path), "k", "at", "value", 0.5), "r", "update").collect()}
+    assert last == {"a": (4, 2 * 0.125 + 4 * 0.125 + 4 * 0.25 + 8 * 0.5), "b": (1, 1.0)}
