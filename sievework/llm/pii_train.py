@@ -152,8 +152,30 @@ class Maker:
     def trait(self) -> str:
         return self.pick("hands-on level-headed self-directed plain-spoken calm curious patient cheerful numerate observant methodical thoughtful flexible punctual".split())
 
+    def manner(self) -> str:
+        return self.pick("by_hand step_by_step without_fuss in_good_time at_short_notice every_quarter on_request as_agreed openly quietly rarely usually".split())
+
+    def channel(self) -> str:
+        return self.pick("a_voice_note a_video_call_with_no_camera an_unlisted_group a_private_messenger an_encrypted_chat text_message_only a_web_form_that_kept_changing a_chat_app".split())
+
+    def role(self) -> str:
+        return self.pick("senior_colleague virtual_secretary remote_assistant site_manager department_chair shift_supervisor hiring_lead people_partner data_typist survey_taker form_processor parcel_forwarder mystery_shopper kitchen_brigade head_of_operations future_teammate".split())
+
+    def site(self) -> str:
+        return self.pick("a_small_studio_above_the_market the_old_mill_building our_hillside_campus the_east_annex two_sites_near_the_ring_road a_converted_tram_shed the_planning_cell the_loading_dock a_squad_of_six our_partner_clinics".split())
+
+    def money(self) -> str:
+        return self.pick("a_wire_to_a_personal_account money_sent_through_a_stranger gift_cards prepaid_vouchers an_equipment_advance a_registration_charge a_courier_bond crypto_tokens bank_details_up_front".split())
+
+    def task(self) -> str:
+        return self.pick("validate maintain inspect archive translate hand_over price monitor label tidy_up reconcile schedule".split()) + " " + self.pick("rental_agreements sensor_readings patient_charts claim_files purchase_orders menu_cards repair_logs course_outlines audit_trails".split())
+
     def decoy(self) -> str:
-        """Sentences that look like personal data but hold none."""
+        """Sentences that look like personal data but hold none, some of them all in capitals."""
+        text = self._decoy()
+        return text.upper() if self.r.random() < 0.06 else text
+
+    def _decoy(self) -> str:
         d, ch, r = self.digits, self.r.choice, self.r
         return ch(
             [
@@ -172,6 +194,13 @@ class Maker:
                 f"For {self.made(2, 3)} we look for a {self.trait()} person with ledger review and {d(1)} years in a similar post.", f"Our yardstick is {ch(['less rework', 'fuller classrooms'])}: last year the {ch(['night crew', 'loading dock'])} improved it by {d(2)} percent.",
                 f"Figures in the header are {ch(['US dollars', 'euros', 'British pounds'])} and apply {ch(['a year', 'a month'])}.", f"Within {d(1)} months you run claims triage for two sites near the ring road on your own.", f"People in {self.plain(1, 3)} report offers with a free mail address more often than others.",
                 f"Send your bank login to confirm the social media rater contract with {self.made(2, 3)}.", f"The role was created after {self.made(2, 3)} grew by {d(2)} percent and the ward sisters asked for help.", f"They wanted {ch(['a starter kit fee', 'an equipment advance'])} before i could start as {ch(['survey taker', 'app tester'])}",
+                f"{ch(['Contact', 'contact'])} pushed me {self.manner()} to {self.channel()} and mentioned {self.made(2, 4)}", f"i {ch(['felt', 'Felt'])} {self.trait()} when the {self.role()} refused to meet at {self.site()}",
+                f"they sent {self.money()} and told me to {self.task()}", f"They wanted {self.money()} before i could start as {self.role()}", f"pay was said to be {d(3)} a day for {self.role()} work, then came {self.money()}",
+                f"After {d(2)} days on {self.channel()} they asked for {self.money()}", f"You will {self.task()} together with our payroll unit and report to {ch(['the', 'a', 'our'])} {self.role()}.", f"not a scam, just a slow reply from the {self.role()}",
+                f"Half of {self.site()} came from other trades, so {self.task()} can be learned at {self.site()}.", f"Looks fine to me, the {self.role()} answered {self.manner()} and showed {ch(['two references', 'proof of training', 'a portfolio link'])}",
+                f"For {self.org()} you {self.task()} {self.manner()}, and the {self.role()} tells {self.site()}.", f"the listing copied {ch(['supplier invoices', 'donor letters'])} from another firm and showed {ch(['a copied logo', 'spelling slips in the contract', 'a free mail address'])}",
+                f"Experience with {self.made(2, 3)} or {self.made(2, 3)} helps, but {self.task()} matters more to {self.site()}.", f"Nobody works alone on {self.task()}: the {self.role()} pairs you with a {self.trait()} mentor.",
+                f"At {self.org()}, {self.trait()} people find a travel card and steady work.",
                 f"Invoice no. {d(4)}-{d(4)} for {self.org()} was sent on {d(2)}.{d(2)}.20{d(2)}.", f"Case {ch('ABXK')}{d(6)} and ticket #{d(7)} are closed.", f"Serial {d(4)} {d(4)} {d(4)}, batch {ch('ABC')}-{d(5)}.", self.plain(6, 20) + ".",
             ]
         )
@@ -226,7 +255,7 @@ class Maker:
         for i in range(count):
             if i:
                 text += self.r.choice([", ", "; ", ". ", " - ", " "])
-            if self.r.random() < 0.3:
+            if self.r.random() < 0.4:
                 text += self.decoy()
                 continue
             start = len(text)
