@@ -70,3 +70,14 @@ def propagated(edges: DataFrame, a: str, b: str, weight: str, start: DataFrame,
     for p in parts[1:]:
         out = out.unionByName(p)
     return out.groupBy("node").agg(F.sum("s").alias("strength"))
+
+
+def clusters(members: DataFrame, facts: DataFrame, key: str, value: str) -> DataFrame:
+    """Summary per component (column component, member node): size, least and mean of a fact joined by node."""
+    rows = members.join(facts.select(F.col(key).alias("node"), F.col(value).alias("v")), "node", "left")
+    return rows.groupBy("component").agg(F.count("*").alias("size"), F.min("node").alias("hub"), F.avg("v").alias("mean"))
+
+
+def profiles(df: DataFrame, who: str, features: list[tuple[str, object]]) -> DataFrame:
+    """One row per ``who`` with named aggregates (name, Column)."""
+    return df.groupBy(who).agg(*[c.alias(n) for n, c in features])

@@ -140,3 +140,43 @@ def cascade_preview(df: DataFrame, old: Column, new: Column, level) -> DataFrame
     rise and fall. ``level`` maps a score to its level."""
     rows = df.select(old.alias("o"), new.alias("n")).where("o is not null and n is not null").select("o", "n", (level(F.col("o")) != level(F.col("n"))).alias("moved"), (F.col("n") - F.col("o")).alias("d"))
     return rows.agg(F.count("*").alias("rows"), F.count_if("moved").alias("moved"), F.avg("d").alias("mean"), F.stddev_samp("d").alias("spread"), F.max("d").alias("rise"), F.min("d").alias("fall"))
+
+
+def leading_digits(df: DataFrame, value: str) -> DataFrame:
+    """Benford test of the first significant digits: (digit, n, share, expected). Zero, null and NaN values are left out;
+    all nine digits come out."""
+    v = F.abs(F.col(value).cast("double"))
+    digit = F.floor(v / F.pow(F.lit(10.0), F.floor(F.log10(v)))).cast("int")
+    rows = df.where(v.isNotNull() & ~F.isnan(v) & (v > 0)).select(F.least(F.greatest(digit, F.lit(1)), F.lit(9)).alias("digit"))
+    seen = rows.groupBy("digit").agg(F.count("*").alias("n"))
+    all_digits = df.sparkSession.range(1, 10).select(F.col("id").cast("int").alias("digit"))
+    joined = all_digits.join(seen, "digit", "left").select("digit", F.coalesce("n", F.lit(0)).alias("n"))
+    whole = F.sum("n").over(W.partitionBy(F.lit(1)))  # nine rows
+    return joined.select("digit", "n", ratio(F.col("n"), whole).alias("share"), F.log10(1 + 1 / F.col("digit")).alias("expected"))
+
+
+def beta_posteriors(df: DataFrame, items: Column, label: Column, alpha: float = 1.0, beta: float = 1.0) -> DataFrame:
+    """(item, hits, misses, mean, lower): Beta posterior of the precision of every item with its mean and mean less two
+    standard deviations."""
+    n = df.where(label.isNotNull()).select(F.explode(F.array_distinct(items)).alias("item"), label.alias("y")).groupBy("item").agg(F.count_if("y").alias("hits"), F.count_if(~F.col("y")).alias("misses"))
+    a, b = F.col("hits") + alpha, F.col("misses") + beta
+    return n.select("*", (a / (a + b)).alias("mean"), (a / (a + b) - 2 * F.sqrt(a * b / ((a + b) * (a + b) * (a + b + 1)))).alias("lower"))
+
+
+def committee(df: DataFrame, key: str, scores: list[str], n: int) -> DataFrame:
+    """The ``n`` rows most worth a label: 0.6 of the spread of several scores and 0.4 of the closeness of their mean to
+    one half; ties by key."""
+    parts = F.array(*[F.col(c).cast("double") for c in scores])
+    mean = F.aggregate(parts, F.lit(0.0), lambda a, x: a + x) / len(scores)
+    rows = df.select(key, parts.alias("p"), mean.alias("mean")).where(F.col("mean").isNotNull())
+    spread = F.sqrt(F.aggregate("p", F.lit(0.0), lambda a, x: a + (x - F.col("mean")) * (x - F.col("mean"))) / len(scores))
+    value = F.round(0.6 * spread + 0.4 * (1 - F.abs(F.col("mean") - 0.5) * 2), 6)
+    return rows.select(key, value.alias("value")).orderBy(F.desc("value"), key).limit(n)
+
+
+def snapshot_difference(before: DataFrame, after: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """(key, change): added, removed or changed rows between two versions of a table."""
+    a, b = before.select(key, F.struct(*columns).alias("x")), after.select(key, F.struct(*columns).alias("y"))
+    both = a.join(b, key, "full_outer")
+    change = F.when(F.col("x").isNull(), "added").when(F.col("y").isNull(), "removed").when(~F.col("x").eqNullSafe(F.col("y")), "changed")
+    return both.select(key, change.alias("change")).where("change is not null")

@@ -79,3 +79,19 @@ def lagged_correlation(series: DataFrame, name: str, order: str, value: str, lag
     """Pearson correlation of each series with itself ``lag`` periods earlier, 0 where undefined."""
     rows = series.select(name, F.col(value).cast("double").alias("v"), F.lag(F.col(value).cast("double"), lag).over(W.partitionBy(name).orderBy(order)).alias("p")).where("p is not null")
     return rows.groupBy(name).agg(F.count("*").alias("n"), F.coalesce(F.corr("v", "p"), F.lit(0.0)).alias("correlation"))
+
+
+def velocity(series: DataFrame, name: str, order: str, value: str, frame: int = 10, still: float = 1e-3) -> DataFrame:
+    """Per name the mean change of the last ``frame`` steps, the mean change of that change, sign changes, and whether the
+    series has come to rest."""
+    w = W.partitionBy(name).orderBy(order)
+    rows = series.select(name, order, (F.col(value) - F.lag(value).over(w)).cast("double").alias("d"), F.row_number().over(W.partitionBy(name).orderBy(F.desc(order))).alias("back"))
+    rows = rows.withColumns({"dd": F.col("d") - F.lag("d").over(w), "turn": (F.signum("d") * F.signum(F.lag("d").over(w)) < 0).cast("int")}).where(F.col("back") <= frame)
+    out = rows.groupBy(name).agg(F.avg("d").alias("velocity"), F.avg("dd").alias("acceleration"), F.coalesce(F.sum("turn"), F.lit(0)).alias("turns"))
+    return out.withColumn("at_rest", F.abs("velocity") < still)
+
+
+def within_rate(df: DataFrame, who: str, at: Column, seconds: float, most: int) -> DataFrame:
+    """Rows of ``who`` with how many rows the ``seconds`` up to it hold, and whether that exceeds ``most``."""
+    w = W.partitionBy(who).orderBy("t").rangeBetween(-int(seconds * 1_000_000), 0)
+    return df.select(who, at.alias("t")).select(who, "t", F.count("*").over(w).alias("recent")).withColumn("exceeded", F.col("recent") > most)

@@ -556,3 +556,62 @@ SELECT x.item_id AS a, y.item_id AS b, round(len(list_intersect(x.s, y.s)) / len
 WHERE len(list_intersect(x.s, y.s)) / len(list_distinct(list_concat(x.s, y.s))) >= 0.4""")
 def style_families(spark, root):
     return style.families(table(spark, root, "eval_items", "item_id", "text"), "item_id", "text", 0.4).select("a", "b", r6("similarity").alias("similarity"))
+
+
+@query("""WITH v AS (SELECT l_extendedprice AS v FROM lineitem WHERE l_extendedprice > 0), d AS (SELECT CAST(floor(v / pow(10, floor(log10(v)))) AS INTEGER) AS digit, count(*) AS n FROM v GROUP BY 1)
+SELECT i::INTEGER AS digit, coalesce(n, 0) AS n, round(coalesce(n, 0) / (SELECT sum(n) FROM d), 6) AS share, round(log10(1 + 1 / i), 6) AS expected FROM range(1, 10) r(i) LEFT JOIN d ON d.digit = i""")
+def quality_leading_digits(spark, root):
+    return quality.leading_digits(table(spark, root, "lineitem", "l_extendedprice"), "l_extendedprice").select("digit", "n", r6("share").alias("share"), r6("expected").alias("expected"))
+
+
+@query(f"""WITH x AS (SELECT unnest(f) AS item, is_scam FROM ({_WORDS}) WHERE is_scam IS NOT NULL), n AS (SELECT item, count_if(is_scam = 1) AS hits, count_if(is_scam <> 1) AS misses FROM x GROUP BY item)
+SELECT item, hits, misses, round((hits + 1) / (hits + misses + 2), 6) AS mean, round((hits + 1) / (hits + misses + 2) - 2 * sqrt((hits + 1e0) * (misses + 1e0) / (pow(hits + misses + 2e0, 2) * (hits + misses + 3e0))), 6) AS lower FROM n""")
+def quality_posteriors(spark, root):
+    out = quality.beta_posteriors(table(spark, root, "user_reports", "reason", "is_scam"), T.tokens(F.col("reason")), F.col("is_scam") == 1)
+    return out.select("item", "hits", "misses", r6("mean").alias("mean"), r6("lower").alias("lower"))
+
+
+@query("""WITH r AS (SELECT id, scam_score AS a, confidence AS b, signal_count / 10e0 AS c FROM jobs WHERE confidence IS NOT NULL AND NOT isnan(confidence)), m AS (SELECT *, (a + b + c) / 3 AS m FROM r)
+SELECT id, round(0.6e0 * sqrt((pow(a - m, 2) + pow(b - m, 2) + pow(c - m, 2)) / 3) + 0.4e0 * (1 - abs(m - 0.5e0) * 2), 6) AS value FROM m ORDER BY value DESC, id LIMIT 20""")
+def quality_committee(spark, root):
+    jobs = table(spark, root, "jobs", "id", "scam_score", "confidence", "signal_count").where("confidence is not null and not isnan(confidence)")
+    return quality.committee(jobs.withColumn("c", F.col("signal_count") / 10), "id", ["scam_score", "confidence", "c"], 20)
+
+
+@query("""WITH a AS (SELECT url, max(id) AS id FROM jobs WHERE batch_no <= 6 GROUP BY url), b AS (SELECT url, max(id) AS id FROM jobs WHERE batch_no >= 1 GROUP BY url)
+SELECT CASE WHEN a.url IS NULL THEN 'added' WHEN b.url IS NULL THEN 'removed' ELSE 'changed' END AS change, count(*) AS n FROM a FULL JOIN b ON a.url = b.url WHERE a.id IS DISTINCT FROM b.id GROUP BY 1""")
+def store_snapshot_difference(spark, root):
+    jobs = table(spark, root, "jobs", "url", "id", "batch_no")
+    last = lambda df: df.groupBy("url").agg(F.max("id").alias("id"))
+    return quality.snapshot_difference(last(jobs.where("batch_no <= 6")), last(jobs.where("batch_no >= 1")), "url", ["id"]).groupBy("change").agg(F.count("*").alias("n"))
+
+
+@query("""SELECT recruiter_name, count(*) AS postings, count(DISTINCT lower(company)) AS companies, count_if(is_remote) AS remote, max(recruiter_connections) AS connections, round(avg(length(description)), 6) AS mean_length
+FROM postings WHERE trim(recruiter_name) <> '' GROUP BY recruiter_name""")
+def graph_profiles(spark, root):
+    rows = table(spark, root, "postings", "recruiter_name", "company", "is_remote", "recruiter_connections", "description").where("trim(recruiter_name) != ''")
+    features = [("postings", F.count("*")), ("companies", F.countDistinct(F.lower("company"))), ("remote", F.count_if("is_remote")), ("connections", F.max("recruiter_connections")), ("mean_length", r6(F.avg(F.length("description"))))]
+    return graph.profiles(rows, "recruiter_name", features)
+
+
+@query(_EDGES + """, w(node, seen) AS (SELECT s, s FROM u UNION SELECT w.node, u.d FROM w JOIN u ON w.seen = u.s), c AS (SELECT node, min(seen) AS component FROM w GROUP BY node),
+f AS (SELECT 'r:' || recruiter_name AS node, count(*) AS v FROM postings WHERE trim(recruiter_name) <> '' GROUP BY 1)
+SELECT component, count(*) AS size, min(c.node) AS hub, round(avg(v), 6) AS mean FROM c LEFT JOIN f ON c.node = f.node GROUP BY component""")
+def graph_clusters(spark, root):
+    members = graph.components(_edges(ship(spark), root), "a", "b")
+    facts = table(spark, root, "postings", "recruiter_name").where("trim(recruiter_name) != ''").groupBy(F.concat(F.lit("r:"), "recruiter_name").alias("n")).agg(F.count("*").alias("v"))
+    return graph.clusters(members, facts, "n", "v").select("component", "size", "hub", r6("mean").alias("mean"))
+
+
+@query(_DAILY + """, e2 AS (SELECT event_type, day, CAST(n - lag(n) OVER w AS DOUBLE) AS d, row_number() OVER (PARTITION BY event_type ORDER BY day DESC) AS back FROM d WINDOW w AS (PARTITION BY event_type ORDER BY day)),
+g2 AS (SELECT *, d - lag(d) OVER w AS dd, CAST(sign(d) * sign(lag(d) OVER w) < 0 AS INTEGER) AS turn FROM e2 WINDOW w AS (PARTITION BY event_type ORDER BY day))
+SELECT event_type, round(avg(d), 6) AS velocity, round(avg(dd), 6) AS acceleration, coalesce(sum(turn), 0)::BIGINT AS turns, abs(avg(d)) < 1e-3 AS at_rest FROM g2 WHERE back <= 10 GROUP BY event_type""")
+def series_velocity(spark, root):
+    return series.velocity(_daily(spark, root), "event_type", "day", "n").select("event_type", r6("velocity").alias("velocity"), r6("acceleration").alias("acceleration"), "turns", "at_rest")
+
+
+@query("""WITH r AS (SELECT user_id, count(*) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) RANGE BETWEEN 43200000000 PRECEDING AND CURRENT ROW) AS recent FROM events)
+SELECT user_id, max(recent) AS most, count_if(recent > 3) AS exceeded FROM r GROUP BY user_id""")
+def series_rate(spark, root):
+    rows = series.within_rate(table(spark, root, "events", "user_id", "ts"), "user_id", F.unix_micros(F.col("ts").cast("timestamp")), 43_200, 3)
+    return rows.groupBy("user_id").agg(F.max("recent").alias("most"), F.count_if("exceeded").alias("exceeded"))
