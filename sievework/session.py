@@ -30,7 +30,7 @@ def table(spark: SparkSession, root: str, name: str, *columns: str) -> DataFrame
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share. It is read from ``spark.checkpoint.dir``; a folder of our own is used only
     where that setting is absent (local tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
         if current.isDefined():
