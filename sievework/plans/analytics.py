@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievework.functions import text as T
-from sievework.operators import graph, quality, scoring, series, store, style
+from sievework.operators import graph, merge, quality, robustness, scoring, series, store, style
+from sievework.sources.registry import union_of
 from sievework.session import ship, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -615,3 +616,70 @@ SELECT user_id, max(recent) AS most, count_if(recent > 3) AS exceeded FROM r GRO
 def series_rate(spark, root):
     rows = series.within_rate(table(spark, root, "events", "user_id", "ts"), "user_id", F.unix_micros(F.col("ts").cast("timestamp")), 43_200, 3)
     return rows.groupBy("user_id").agg(F.max("recent").alias("most"), F.count_if("exceeded").alias("exceeded"))
+
+
+# ---- mutations, sources, robustness -----------------------------------------------------------------------------
+
+
+@query("""WITH a AS (SELECT url, min(title) AS title, max(risk_level) AS risk_level FROM jobs WHERE batch_no < 6 GROUP BY url), b AS (SELECT url, min(title) AS title, max(risk_level) AS risk_level FROM jobs WHERE batch_no >= 6 GROUP BY url)
+SELECT coalesce(a.url, b.url) AS url, coalesce(a.title, b.title) AS title, coalesce(b.risk_level, a.risk_level) AS risk_level FROM a FULL JOIN b ON a.url = b.url""")
+def merge_columns(spark, root):
+    jobs = table(spark, root, "jobs", "url", "title", "risk_level", "batch_no")
+    one = lambda df: df.groupBy("url").agg(F.min("title").alias("title"), F.max("risk_level").alias("risk_level"))
+    return merge.merged(one(jobs.where("batch_no < 6")), one(jobs.where("batch_no >= 6")), "url", keep=("title",))
+
+
+@query("""WITH a AS (SELECT source, count(*) AS n, round(avg(scam_score), 6) AS mean FROM jobs WHERE batch_no < 12 GROUP BY source), b AS (SELECT source, count(*) AS n, round(avg(scam_score), 6) AS mean FROM jobs WHERE batch_no = 12 GROUP BY source)
+SELECT coalesce(a.source, b.source) AS source, (coalesce(a.n, 0) + coalesce(b.n, 0))::BIGINT AS n, coalesce(b.mean, a.mean) AS mean FROM a FULL JOIN b ON a.source = b.source""")
+def merge_counters(spark, root):
+    jobs = table(spark, root, "jobs", "source", "scam_score", "batch_no")
+    one = lambda df: df.groupBy("source").agg(F.count("*").alias("n"), r6(F.avg("scam_score")).alias("mean"))
+    return merge.accumulated(one(jobs.where("batch_no < 12")), one(jobs.where("batch_no = 12")), "source", ("n",), ("mean",))
+
+
+@query(r"""SELECT sha256(lower(trim(regexp_replace(description, '\s+', ' ', 'g')))) AS digest, lower(coalesce(company, '')) AS owner, min(id) AS first FROM jobs WHERE trim(coalesce(description, '')) <> '' GROUP BY 1, 2""")
+def merge_first_kept(spark, root):
+    rows = table(spark, root, "jobs", "id", "description", "company", "batch_no").where("trim(coalesce(description, '')) != ''")
+    rows = rows.select(T.content_hash(F.col("description")).alias("digest"), F.lower(F.coalesce("company", F.lit(""))).alias("owner"), F.col("id").alias("first"), "batch_no")
+    return merge.first_kept(rows.where("batch_no = 0"), rows.where("batch_no > 0"), ["digest", "owner"], "first")
+
+
+@query("""WITH k AS (SELECT DISTINCT url FROM jobs WHERE batch_no < 12 AND trim(url) <> ''), n AS (SELECT DISTINCT url FROM jobs WHERE batch_no = 12 AND trim(url) <> '')
+SELECT count_if(k.url IS NULL) AS inserted, count_if(k.url IS NOT NULL) AS updated, (SELECT count(*) FROM jobs WHERE batch_no = 12 AND coalesce(trim(url), '') = '') AS rejected FROM n LEFT JOIN k ON n.url = k.url""")
+def merge_batch_effect(spark, root):
+    jobs = table(spark, root, "jobs", "url", "batch_no")
+    return merge.batch_effect(jobs.where("batch_no < 12"), jobs.where("batch_no = 12"), "url")
+
+
+@query("""WITH l AS (SELECT url, arg_max(is_scam, (reported_at, report_id)) AS verdict, count(*) AS reports FROM user_reports WHERE url IS NOT NULL GROUP BY url)
+SELECT risk_level, verdict, count(*) AS jobs, sum(coalesce(reports, 0))::BIGINT AS reports FROM jobs LEFT JOIN l ON jobs.url = l.url GROUP BY 1, 2""")
+def merge_verdicts(spark, root):
+    out = merge.verdicts(table(spark, root, "jobs", "url", "risk_level"), table(spark, root, "user_reports", "url", "reported_at", "report_id", "is_scam"), "url", "reported_at", "report_id", "is_scam")
+    return out.groupBy("risk_level", "verdict").agg(F.count("*").alias("jobs"), F.sum("reports").alias("reports"))
+
+
+@query("""WITH a AS (SELECT url, 0 AS p FROM jobs UNION ALL SELECT url, 1 FROM postings), k AS (SELECT url, min(p) AS p FROM a WHERE trim(coalesce(url, '')) <> '' GROUP BY url)
+SELECT p::INTEGER AS part, count(*) AS n FROM (SELECT p FROM k UNION ALL SELECT p FROM a WHERE trim(coalesce(url, '')) = '') GROUP BY p""")
+def source_union(spark, root):
+    parts = [table(spark, root, t, "url").withColumn("part", F.lit(i)) for i, t in enumerate(("jobs", "postings"))]
+    return union_of(parts).groupBy("part").agg(F.count("*").alias("n"))
+
+
+@query()
+def robust_scores(spark, root):
+    forms = robustness.variants(table(ship(spark), root, "user_reports", "report_id", "reason"), "report_id", "reason", n=1)
+    signals = scoring.fired(scoring.text_signals(F.lit(""), F.col("reason")))
+    rows = forms.select("report_id", "kind", signals.alias("s"))
+    return robustness.robustness(rows, "report_id", scoring.score(F.col("s")))
+
+
+@query()
+def robust_survival(spark, root):
+    forms = robustness.variants(table(ship(spark), root, "user_reports", "report_id", "reason"), "report_id", "reason", n=1)
+    return robustness.survival(forms, "report_id", {s.name: s.fires for s in scoring.text_signals(F.lit(""), F.col("reason"))[:6]}).select("signal", "kind", r6("kept").alias("kept"))
+
+
+@query()
+def robust_ablation(spark, root):
+    score = lambda t: F.when(t.contains("gift cards"), 0.4).otherwise(0.0) + F.when(t.contains("crypto"), 0.3).otherwise(0.0)
+    return robustness.ablation(table(spark, root, "user_reports", "report_id", "reason"), "report_id", "reason", ["gift cards", "crypto", "fine"], score)

@@ -61,3 +61,15 @@ def drained(stream: DataFrame, name: str, mode: str) -> DataFrame:
     run = stream.writeStream.format("memory").queryName(sink).outputMode(mode).option("checkpointLocation", f"{shared_dir(spark)}/sievework/{sink}").trigger(availableNow=True).start()
     run.awaitTermination()
     return spark.table(sink)
+
+
+def sliding(stream: DataFrame, at: str, key: str, width: str, slide: str, late: str) -> DataFrame:
+    """Counts per key and sliding window."""
+    rows = stream.withColumn("at", F.col(at).cast("timestamp")).withWatermark("at", late)
+    return rows.groupBy(F.window("at", width, slide).alias("w"), key).agg(F.count("*").alias("n")).select(key, F.unix_micros("w.start").alias("start_us"), "n")
+
+
+def sessions(stream: DataFrame, at: str, key: str, pause: str, late: str) -> DataFrame:
+    """Counts per key and session; a session ends after ``pause`` without an event."""
+    rows = stream.withColumn("at", F.col(at).cast("timestamp")).withWatermark("at", late)
+    return rows.groupBy(F.session_window("at", pause).alias("w"), key).agg(F.count("*").alias("n")).select(key, F.unix_micros("w.start").alias("start_us"), F.unix_micros("w.end").alias("end_us"), "n")

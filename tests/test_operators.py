@@ -166,3 +166,36 @@ def test_streams_equal_batch(spark, tmp_path):
     assert S.drained(S.first_seen(S.stream_of(spark, path), "at", ["k"], "10 days").select("k"), "f", "append").count() == 2
     last = {r.k: (r.n, r.ema) for r in S.drained(S.running_average(S.stream_of(spark, path), "k", "at", "value", 0.5), "r", "update").collect()}
     assert last == {"a": (4, 2 * 0.125 + 4 * 0.125 + 4 * 0.25 + 8 * 0.5), "b": (1, 1.0)}
+
+
+def test_merges(spark):
+    from sievework.operators import merge
+
+    old = spark.createDataFrame([("a", "x", 1), ("b", None, 2)], "k string, t string, n int")
+    new = spark.createDataFrame([("a", "y", None), ("c", "z", 3)], "k string, t string, n int")
+    assert {tuple(r) for r in merge.merged(old, new, "k", keep=("t",)).collect()} == {("a", "x", 1), ("b", None, 2), ("c", "z", 3)}
+    assert {tuple(r) for r in merge.accumulated(old, new, "k", ("n",), ("t",)).collect()} == {("a", 1, "y"), ("b", 2, None), ("c", 3, "z")}
+    blank = spark.createDataFrame([("a",), ("a",), ("q",), ("",), (None,)], "k string")
+    assert merge.batch_effect(old, blank, "k").head().asDict() == {"inserted": 1, "updated": 1, "rejected": 2}
+    reports = spark.createDataFrame([("a", 1, 1, 0), ("a", 2, 1, 1), (None, 3, 1, 1)], "k string, at int, i int, v int")
+    assert {(r.k, r.verdict, r.reports) for r in merge.verdicts(old, reports, "k", "at", "i", "v").collect()} == {("a", 1, 2), ("b", None, 0)}
+
+
+def test_union_of_sources(spark):
+    from sievework.sources.registry import union_of
+
+    a, b = spark.createDataFrame([("u", 1), ("", 2)], "url string, n int"), spark.createDataFrame([("u", 3), ("v", 4), (None, 5)], "url string, n int")
+    assert {tuple(r) for r in union_of([a, b]).collect()} == {("u", 1), ("v", 4), ("", 2), (None, 5)}
+
+
+def test_robustness(spark):
+    from sievework.operators import robustness
+
+    df = spark.createDataFrame([(1, "send gift cards now. thanks"), (2, None), (3, "")], "i int, t string")
+    forms = robustness.variants(df, "i", "t", n=2)
+    assert forms.where("i = 1").count() == 1 + 2 * len(robustness.KINDS) and forms.where("i = 2").count() == 0
+    assert sorted(map(tuple, forms.collect()), key=repr) == sorted(map(tuple, robustness.variants(df, "i", "t", n=2).collect()), key=repr)
+    kept = {(r.signal, r.kind): r.kept for r in robustness.survival(forms, "i", {"g": F.lower("t").contains("gift cards")}).collect()}
+    assert kept["g", "case"] == 1 and kept["g", "order"] == 1
+    falls = robustness.ablation(df, "i", "t", ["gift cards", "wire"], lambda t: F.when(t.contains("gift"), 0.5).otherwise(0.1)).collect()
+    assert [(r.i, r.word, round(r.fall, 6)) for r in falls] == [(1, "gift cards", 0.4)]
