@@ -30,7 +30,7 @@ def components(edges: DataFrame, a: str, b: str, rounds: int = 60) -> DataFrame:
         low = large.groupBy("src").agg(F.min("dst").alias("m"))
         small = large.join(low, "src").where("dst != m").select(F.col("dst").alias("src"), F.col("m").alias("dst")).unionByName(low.select("src", F.col("m").alias("dst"))).where("src > dst").distinct()
         edge = written(small, "cc")
-        state = edge.agg(F.count("*").alias("n"), F.sum(F.pmod(F.xxhash64("src", "dst"), F.lit(1 << 40))).alias("h")).head()
+        state = edge.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("src", "dst")).alias("h")).head()
         if before == tuple(state):
             break
         before = tuple(state)
