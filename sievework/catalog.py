@@ -20,4 +20,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return analytics.SQL | streams.SQL
+    return analytics.SQL | streams.SQL | cleaning.SQL

@@ -168,7 +168,8 @@ def resolved(df: DataFrame, key: str, value: str, source: str, feeds: DataFrame,
     null when not known); ``reference`` is the timestamp column that relative phrases count back from."""
     rows = df.select(F.col(key).cast("long").alias("row_id"), F.col(value).alias("v"), F.col(source).alias("source"), (F.col(reference) if reference else F.lit(None).cast("timestamp")).alias("ref"))
     known = feeds.select("source", "zone", "date_order").dropDuplicates(["source"])
-    rows = rows.join(known, "source", "left")
+    # A broadcast keeps a source with a third of all rows from being one task; a long list of feeds is joined by a shuffle.
+    rows = rows.join(F.broadcast(known) if known.count() <= MAX_BROADCAST_ROWS else known, "source", "left")
     # Written once: a filter on it would otherwise be pushed through all the projections and repeat them.
     read_rows = written(readings(rows), "readings")
     allowed = F.array_compact(F.array(*[F.when(F.col(f).isNotNull(), F.lit(i)) for i, f in enumerate(FORMATS)]))
