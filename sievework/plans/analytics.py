@@ -454,8 +454,8 @@ def score_attribution(spark, root):
 
 @query(_signal_sql() + f" SELECT j.source, {_RISK} AS risk, count(*) AS n, round(avg(score), 6) AS mean_score FROM r JOIN jobs j ON j.id = r.id GROUP BY 1, 2")
 def score_summary(spark, root):
-    jobs = table(spark, root, "jobs", "id", "source", "title", "description")
-    found = scoring.fired(scoring.text_signals(F.col("title"), F.col("description")))
+    jobs = scoring.prepared(table(spark, root, "jobs", "id", "source", "title", "description"), "title", "description")
+    found = scoring.fired(scoring.text_signals(F.col("_both"), F.col("_low")))
     # Each step is a projection of its own, so that no pattern is matched twice.
     rows = jobs.select("source", found.alias("s")).select("source", scoring.score(F.col("s")).alias("score"))
     return rows.groupBy("source", scoring.risk(F.col("score")).alias("risk")).agg(F.count("*").alias("n"), r6(F.avg("score")).alias("mean_score"))
@@ -667,16 +667,16 @@ def source_union(spark, root):
 
 @query()
 def robust_scores(spark, root):
-    forms = robustness.variants(table(ship(spark), root, "user_reports", "report_id", "reason"), "report_id", "reason", n=1)
-    signals = scoring.fired(scoring.text_signals(F.lit(""), F.col("reason")))
+    forms = robustness.variants(table(ship(spark), root, "user_reports", "report_id", "reason"), "report_id", "reason", n=1).withColumn("low", F.lower("reason"))
+    signals = scoring.fired(scoring.text_signals(F.col("reason"), F.col("low")))
     rows = forms.select("report_id", "kind", signals.alias("s"))
     return robustness.robustness(rows, "report_id", scoring.score(F.col("s")))
 
 
 @query()
 def robust_survival(spark, root):
-    forms = robustness.variants(table(ship(spark), root, "user_reports", "report_id", "reason"), "report_id", "reason", n=1)
-    return robustness.survival(forms, "report_id", {s.name: s.fires for s in scoring.text_signals(F.lit(""), F.col("reason"))[:6]}).select("signal", "kind", r6("kept").alias("kept"))
+    forms = robustness.variants(table(ship(spark), root, "user_reports", "report_id", "reason"), "report_id", "reason", n=1).withColumn("low", F.lower("reason"))
+    return robustness.survival(forms, "report_id", {s.name: s.fires for s in scoring.text_signals(F.col("reason"), F.col("low"))[:6]}).select("signal", "kind", r6("kept").alias("kept"))
 
 
 @query()
