@@ -401,6 +401,25 @@ def text_edit_distance_join(spark, root):
     return pairs.where("edits >= 0")
 
 
+def _clean_names(spark, root):
+    return table(spark, root, "companies", "company_id", "name").select("company_id", F.regexp_replace(F.lower("name"), "[^a-z0-9 ]", "").alias("name"))
+
+
+@query()
+def text_all_similar_names(spark, root):
+    from sievework.functions.similarity import alike
+
+    return alike(_clean_names(ship(spark), root), "company_id", "name", 0.9).select("a", "b", r6("similarity").alias("similarity"))
+
+
+@query("""WITH c AS (SELECT company_id, regexp_replace(lower(name), '[^a-z0-9 ]', '', 'g') AS name FROM companies)
+SELECT a.company_id AS a, b.company_id AS b, levenshtein(a.name, b.name) AS edits FROM c a JOIN c b ON a.company_id < b.company_id AND length(a.name) > 0 AND length(b.name) > 0 WHERE levenshtein(a.name, b.name) <= 3""")
+def text_all_edit_distances(spark, root):
+    from sievework.functions.similarity import within_edits
+
+    return within_edits(_clean_names(spark, root), "company_id", "name", 3)
+
+
 @query()
 def text_unmasked(spark, root):
     t = F.coalesce(F.col("text"), F.lit(""))

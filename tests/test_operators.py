@@ -44,6 +44,37 @@ def test_similar_names_against_brute_force(spark):
     assert {(r.a, r.b) for r in catalog.queries()["text_similar_names"](spark, DATA).collect()} == want
 
 
+def test_similarity_joins_lose_no_pair(spark):
+    import random
+
+    r = random.Random(4)
+    names = ["lorkarwyn healthcare", "lrokarwyn healthcare sa", "yorglefax textiles s a", "yorglefax textiles sa", "", None, "a", "b", "abcd", "xbcd", "bcd", "same", "same", "née", "nee"]
+    names += ["".join(r.choice("abc ") for _ in range(r.randrange(1, 15))) for _ in range(120)]
+    df = spark.createDataFrame(list(enumerate(names)), "k long, t string")
+
+    def edits(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row, old = [i], row
+            for j, y in enumerate(b, 1):
+                row.append(min(old[j] + 1, row[-1] + 1, old[j - 1] + (x != y)))
+        return row[-1]
+
+    pairs = [(i, j) for j in range(len(names)) for i in range(j) if names[i] and names[j]]
+    want = {(i, j): edits(names[i], names[j]) for i, j in pairs}
+    assert {(x.a, x.b): x.edits for x in similarity.within_edits(df, "k", "t", 3).collect()} == {p: n for p, n in want.items() if n <= 3}
+    got = [(x.a, x.b) for x in similarity.alike(df, "k", "t", 0.9).collect()]
+    assert len(got) == len(set(got)) and set(got) == {(i, j) for i, j in pairs if similarity.jaro_winkler(names[i], names[j]) >= 0.9} and (0, 1) in got
+
+
+def test_company_pairs_outside_the_blocks_are_found(spark):
+    if not os.path.isdir(DATA):
+        pytest.skip("no test data here")
+    rows = spark.read.parquet(f"{DATA}/companies.parquet").select("company_id", F.regexp_replace(F.lower("name"), "[^a-z0-9 ]", "")).collect()
+    want = {(a, b) for a, x in rows for b, y in rows if a < b and x and y and similarity.jaro_winkler(x, y) >= 0.9}
+    assert {(r.a, r.b) for r in catalog.queries()["text_all_similar_names"](spark, DATA).collect()} == want
+
+
 def test_store(spark):
     old = spark.createDataFrame([("a", 1, "x"), ("b", 1, "y")], "k string, v int, t string")
     new = spark.createDataFrame([("a", 2, None), ("c", 1, "z"), ("a", 0, "q")], "k string, v int, t string")
