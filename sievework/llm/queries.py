@@ -31,10 +31,12 @@ def p3_found(spark: SparkSession, root: str) -> DataFrame:
 
 
 def p3_masked(spark: SparkSession, root: str) -> DataFrame:
-    """Reports with placeholders in place of personal data."""
+    """(tbl, row_id, text): descriptions and reports with placeholders in place of personal data."""
     from sievework.llm.pii import masked
 
-    return masked(table(ship(spark), root, "user_reports", "report_id", "reason"), "report_id", "reason")
+    jobs = masked(table(ship(spark), root, "jobs", "id", "description"), "id", "description").toDF("row_id", "text")
+    reports = masked(table(spark, root, "user_reports", "report_id", "reason"), "report_id", "reason").toDF("row_id", "text")
+    return jobs.withColumn("tbl", F.lit("jobs")).unionByName(reports.withColumn("tbl", F.lit("user_reports"))).select("tbl", "row_id", "text")
 
 
 def p4_found(spark: SparkSession, root: str) -> DataFrame:

@@ -146,6 +146,15 @@ def test_findings_and_placeholders(spark):
     assert clean[1] == "Calm people wanted.\nQuestions go to [NAME] at [EMAIL] or by phone on [PHONE]. Order no. 922 924 100 shipped with 15 boxes." and clean[2] is None and clean[3] == ""
 
 
+def test_masked_query_reads_both_tables(spark, tmp_path):
+    from sievework.llm import queries
+
+    spark.createDataFrame([(1, "Call 020 7946 0958 now."), (2, None)], "id long, description string").write.parquet(f"{tmp_path}/jobs.parquet")
+    spark.createDataFrame([(1, "Mail a@b.example today.")], "report_id long, reason string").write.parquet(f"{tmp_path}/user_reports.parquet")
+    got = {(r.tbl, r.row_id): r.text for r in queries.p3_masked(spark, str(tmp_path)).collect()}
+    assert got == {("jobs", 1): "Call [PHONE] now.", ("jobs", 2): None, ("user_reports", 1): "Mail [EMAIL] today."}
+
+
 def test_long_sentences_are_reconciled():
     if not os.path.exists(pii.WEIGHTS):
         pytest.skip("not trained yet")
