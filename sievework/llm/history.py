@@ -7,7 +7,7 @@ hash really reach the similarity. ``repeats`` answers for all batches of a table
 in bucketed tables, checks one new batch against them without touching old texts, and appends.
 
 Skew: exact hashes are reduced to one row per key and batch before they meet; equal descriptions are one content; hot
-paragraphs are spread by parts of the sketch, and inside a large paragraph bucket contents are compared in rising order
+paragraphs are cut into blocks of which each two meet, and inside a large paragraph bucket contents are compared in rising order
 until each has met a practically certain earlier copy.
 """
 
@@ -24,13 +24,12 @@ from pyspark.sql import functions as F
 from sievework.llm import vec
 from sievework.llm.neardup import floor, runs_of
 from sievework.llm.shingles import shingle_sets, verified, with_shingles
-from sievework.llm.skew import hot_keys, spread
+from sievework.llm.skew import blocked, hot_keys
 from sievework.session import written
 
 SKETCH = 32
 #: Of the sketch's values equal in a practically certain copy: a pair below 0.6 has so many in 2 of 1,000,000 cases.
 CERTAIN = 31
-SPREAD_PARTS = 8
 #: Paragraphs below this many words are no evidence.
 PARAGRAPH_WORDS = 4
 #: Paragraphs above this many words are cut at words that their hash picks (one in eight).
@@ -112,7 +111,7 @@ def paragraph_pairs(contents: DataFrame, similarity: float, hot: int = 50_000) -
     where ``a`` comes before ``b`` and may be a copy of it. ``first`` and ``last`` are batches."""
     least = floor(similarity, SKETCH)
     keyed = contents.select(F.explode("paragraphs").alias("g"), "id", "first", "last", "sketch")
-    keyed = spread(keyed, "g", hot_keys(keyed, "g", "id", hot), SPREAD_PARTS, F.substring("sketch", 2 * F.col("only") + 1, F.lit(2)))
+    keyed = blocked(keyed, "g", "id", hot_keys(keyed, "g", "id", hot))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [b for b in batches if b.num_rows]
@@ -121,6 +120,7 @@ def paragraph_pairs(contents: DataFrame, similarity: float, hot: int = 50_000) -
         whole = pa.Table.from_batches(got).combine_chunks()
         g, ids, first, last = (whole.column(i).to_numpy() for i in range(4))
         sketch = vec.binary_rows(whole.column(4), SKETCH)
+        side = whole.column(5).to_numpy()
         del got, whole
         order = np.lexsort((ids, first, g))
         cut = np.flatnonzero(np.concatenate(([True], np.diff(g[order]) != 0, [True])))
@@ -128,7 +128,7 @@ def paragraph_pairs(contents: DataFrame, similarity: float, hot: int = 50_000) -
         out: list[np.ndarray] = []
 
         def emit(x: np.ndarray, y: np.ndarray) -> None:
-            near = (last[y] > first[x]) & (ids[x] != ids[y])
+            near = (last[y] > first[x]) & (ids[x] != ids[y]) & ((side[x] == -1) | (side[x] != side[y]))
             x, y = x[near], y[near]
             near = (sketch[x] == sketch[y]).sum(axis=1) >= least
             out.append(np.unique(np.stack([ids[x[near]], first[x[near]].astype(np.int64), ids[y[near]]], axis=1), axis=0))
@@ -138,25 +138,31 @@ def paragraph_pairs(contents: DataFrame, similarity: float, hot: int = 50_000) -
             emit(x, y)
         for i in np.flatnonzero(size > SMALL_BUCKET):
             members = order[cut[i] : cut[i + 1]]
-            waiting = members[1:]
-            for at, a in enumerate(members[:-1]):
-                if at:
+            # What waits for each side: all that it may be paired with (side -1 with itself).
+            waits = {s: members[(side[members] == -1) | (side[members] != s)] for s in np.unique(side[members])}
+            for a in members[:-1]:
+                waiting = waits[side[a]]
+                if side[a] == -1:
                     waiting = waiting[waiting != a]
+                else:
+                    waiting = waiting[(first[waiting] > first[a]) | ((first[waiting] == first[a]) & (ids[waiting] > ids[a]))]
                 waiting = waiting[last[waiting] > first[a]]
-                if not len(waiting):
+                if len(waiting):
+                    equal = (sketch[waiting] == sketch[a]).sum(axis=1)
+                    near = waiting[equal >= least]
+                    if len(near):
+                        near = near[ids[near] != ids[a]]
+                        out.append(np.stack([np.full(len(near), ids[a]), np.full(len(near), first[a], np.int64), ids[near]], axis=1))
+                        waiting = waiting[equal < CERTAIN]
+                waits[side[a]] = waiting
+                if not any(len(w) for w in waits.values()):
                     break
-                equal = (sketch[waiting] == sketch[a]).sum(axis=1)
-                near = waiting[equal >= least]
-                if len(near):
-                    near = near[ids[near] != ids[a]]
-                    out.append(np.stack([np.full(len(near), ids[a]), np.full(len(near), first[a], np.int64), ids[near]], axis=1))
-                    waiting = waiting[equal < CERTAIN]
         found = np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 3), np.int64)
         for s in range(0, len(found), 100_000):
             part = found[s : s + 100_000]
             yield pa.RecordBatch.from_arrays([pa.array(part[:, 0]), pa.array(part[:, 1].astype(np.int32)), pa.array(part[:, 2])], ["a", "first_a", "b"])
 
-    return keyed.select("g", "id", "first", "last", "sketch").repartition("g").mapInArrow(run, "a long, first_a int, b long").distinct()
+    return keyed.select("g", "id", "first", "last", "sketch", "side").repartition("g").mapInArrow(run, "a long, first_a int, b long").distinct()
 
 
 def exact_keys(df: DataFrame) -> DataFrame:

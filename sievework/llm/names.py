@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from sievework.llm import vec
 from sievework.llm.canonical import is_short_for, plain, typed
-from sievework.llm.skew import hot_keys, spread
+from sievework.llm.skew import blocked, hot_keys, may_pair
 from sievework.session import written
 
 Q = 3
@@ -160,15 +160,14 @@ def links(keys: DataFrame, least_gram_similarity: float = 0.35, recall: float =
             key = np.zeros((len(sets), bands), np.uint64)
             for r in range(rows):
                 key = vec.mix(key + low[:, :, r] + salt)
-            more = vec.minhashes(values, off, 16, seed=6).astype(np.uint8)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), vec.list_array(vec.int64(key.reshape(-1)), np.arange(len(sets) + 1) * bands, pa.int64()), vec.fixed_binary(more), batch.column(1)], ["node", "g", "sketch", "words"]
+                [batch.column(0), vec.list_array(vec.int64(key.reshape(-1)), np.arange(len(sets) + 1) * bands, pa.int64())], ["node", "g"]
             )
 
-    signed = keys.select("node", "words").mapInArrow(banded, "node long, g array<long>, sketch binary, words array<string>")
-    keyed = signed.select(F.explode("g").alias("g"), "node", "sketch")
-    keyed = spread(keyed, "g", hot_keys(keyed, "g", "node", hot), 8, F.substring("sketch", 2 * F.col("only") + 1, F.lit(2))).select("g", "node")
-    pairs = keyed.alias("x").join(keyed.alias("y"), "g").where(F.col("x.node") < F.col("y.node")).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+    signed = keys.select("node", "words").mapInArrow(banded, "node long, g array<long>")
+    keyed = signed.select(F.explode("g").alias("g"), "node")
+    keyed = blocked(keyed, "g", "node", hot_keys(keyed, "g", "node", hot))
+    pairs = keyed.alias("x").join(keyed.alias("y"), "g").where((F.col("x.node") < F.col("y.node")) & may_pair(F.col("x.side"), F.col("y.side"))).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
     words = keys.select("node", "words")
     both = pairs.join(words.select(F.col("node").alias("a"), F.col("words").alias("wa")), "a").join(words.select(F.col("node").alias("b"), F.col("words").alias("wb")), "b")
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,7 +12,8 @@ SAMPLE = 32
 
 
 def hot_keys(df: DataFrame, key: str, row_id: str, hot: int) -> DataFrame | None:
-    """A table of the keys (longs) that hold more than about ``hot`` rows, or None. A key counts as hot from one
+    """A table of the keys (longs) that hold more than about ``hot`` rows, with the number of blocks of about so many rows
+    (``blocks``), or None. A key counts as hot from one
     20,000th of all rows upwards at least, so the list has at most 20,000 entries whatever the input."""
     sample = df.where(F.pmod(F.xxhash64(F.lit(17), row_id), F.lit(SAMPLE)) == 0)
     counts = sample.groupBy(key).count()
@@ -18,8 +21,9 @@ def hot_keys(df: DataFrame, key: str, row_id: str, hot: int) -> DataFrame | None
     least = max(hot / SAMPLE, total / 20_000, 8)
     if total <= least:
         return None
-    found = [r[0] for r in counts.where(F.col("count") > least).select(key).collect()]
-    return df.sparkSession.createDataFrame([(x,) for x in found], f"{key} long") if found else None
+    size = max(hot / SAMPLE, 8)
+    found = [(r[0], math.ceil(r[1] / size)) for r in counts.where(F.col("count") > least).select(key, "count").collect()]
+    return df.sparkSession.createDataFrame(found, f"{key} long, blocks int") if found else None
 
 
 def spread(df: DataFrame, key: str, hot: DataFrame | None, parts: int, part_value: Column) -> DataFrame:
@@ -28,6 +32,26 @@ def spread(df: DataFrame, key: str, hot: DataFrame | None, parts: int, part_valu
     if hot is None:
         return df
     plain = df.withColumn("only", F.lit(-1).cast("byte"))
-    listed = F.broadcast(hot)  # at most 20,000 longs, see hot_keys
+    listed = F.broadcast(hot.select(key))  # at most 20,000 longs, see hot_keys
     cut = df.join(listed, key, "left_semi").withColumn("only", F.explode(F.array(*[F.lit(i).cast("byte") for i in range(parts)]))).withColumn(key, F.xxhash64(key, "only", part_value))
     return plain.join(listed, key, "left_anti").unionByName(cut)
+
+
+def blocked(df: DataFrame, key: str, row_id: str, hot: DataFrame | None) -> DataFrame:
+    """``df`` with ``side``, without loss of a pair: the rows of a hot key fall into blocks, and each two blocks (and each
+    block alone) become a key of their own. Two rows of a key are to be paired if ``may_pair`` holds for their sides; that is
+    so under exactly one key for each pair."""
+    if hot is None:
+        return df.withColumn("side", F.lit(-1).cast("byte"))
+    listed = F.broadcast(hot)  # at most 20,000 rows, see hot_keys
+    own = F.pmod(F.xxhash64(F.lit(29), row_id), F.col("blocks").cast("long")).cast("int")
+    cut = df.join(listed, key).withColumn("_own", own).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    side = F.when(F.col("_own") == F.col("_other"), -1).when(F.col("_own") < F.col("_other"), 0).otherwise(1).cast("byte")
+    cut = cut.withColumn("side", side).withColumn(key, F.xxhash64(key, F.least("_own", "_other"), F.greatest("_own", "_other"))).drop("_own", "_other", "blocks")
+    plain = df.withColumn("side", F.lit(-1).cast("byte"))
+    return plain.join(listed, key, "left_anti").unionByName(cut)
+
+
+def may_pair(x: Column, y: Column) -> Column:
+    """May two rows of one key be paired, given their sides?"""
+    return (x == -1) | (x != y)

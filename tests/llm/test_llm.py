@@ -109,6 +109,24 @@ def test_crowded_paragraphs_end_early(spark):
     assert {tuple(r) for r in history.repeats(df).collect()} == {(0, i) for i in range(60, 160)}
 
 
+def test_hot_paragraphs_lose_no_pair(spark):
+    from sievework.llm.skew import hot_keys
+
+    rng = np.random.default_rng(8)
+    byte = lambda n: rng.integers(0, 256, n).astype(np.uint8)
+    rows, want = [], set()
+    for i in range(300):
+        one = byte(history.SKETCH)
+        two = one.copy()
+        at = rng.permutation(history.SKETCH)[:12]
+        two[at] += 1  # 20 of 32 values equal; eight pairs of values often have none whole
+        rows += [(2 * i, 0, 0, [7], bytes(one)), (2 * i + 1, 1, 1, [7], bytes(two))]
+        want.add((2 * i, 2 * i + 1))
+    df = spark.createDataFrame(rows, "id long, first int, last int, paragraphs array<long>, sketch binary")
+    assert hot_keys(df.select(F.explode("paragraphs").alias("g"), "id"), "g", "id", 1).head().blocks > 1
+    assert {(r.a, r.b) for r in history.paragraph_pairs(df, 0.6, hot=1).collect()} == want == {(r.a, r.b) for r in history.paragraph_pairs(df, 0.6).collect()}
+
+
 def test_verified_is_exact(spark):
     a, b = text_of(1), edited(text_of(1), 2, 6)
     texts = spark.createDataFrame([(1, a), (2, b), (3, None)], "id long, t string")
