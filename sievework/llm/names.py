@@ -122,6 +122,25 @@ def grams(words: list[str]) -> list[int]:
     return [hash_of(g) for g in out]
 
 
+def one_deletion(word: str) -> set[str]:
+    """The word and, if it may be mistyped (four letters or more beside a longer form), what is left without one letter: two
+    words that one typing error tells apart share an entry."""
+    return {word} | ({word[:i] + word[i + 1 :] for i in range(len(word))} if len(word) >= 4 else set())
+
+
+def typing_keys(words: list[str], common: set[str]) -> set[str]:
+    """Keys that names of as many words share for certain if (w) a word that isn't common is the same on both sides but for
+    one typing error, or (n) the whole names are, but for one typing error in one of their words."""
+    n, keys = len(words), set()
+    for i, word in enumerate(words):
+        rest = " ".join(sorted(words[:i] + words[i + 1 :]))
+        for short in one_deletion(word):
+            keys.add(f"n {n} {rest}/{short}")
+            if word not in common:
+                keys.add(f"w {n} {short}")
+    return keys
+
+
 def hash_of(text: str) -> int:
     import hashlib
 
@@ -145,7 +164,8 @@ def links(keys: DataFrame, least_gram_similarity: float = 0.35, recall: float =
     bands = bands_for(least_gram_similarity, recall, rows)
     # Words that very many names share (trades, "sons", "partners") say little and would fill buckets: names are banded by
     # their other words, if they have any. A word is common from COMMON names upwards and from one name in 200, so the
-    # list has at most 200 entries for every word that a name has on average.
+    # list has at most 200 entries for every word that a name has on average. Where what is left is short, one typing error
+    # leaves too few equal grams: such pairs meet by ``typing_keys``, whatever their grams.
     least_common = max(COMMON, keys.count() // 200)
     counts = keys.select(F.explode(F.array_distinct("words")).alias("w")).groupBy("w").count()
     common = {r["w"] for r in counts.where(F.col("count") > least_common).select("w").collect()}
@@ -166,6 +186,14 @@ def links(keys: DataFrame, least_gram_similarity: float = 0.35, recall: float =
 
     signed = keys.select("node", "words").mapInArrow(banded, "node long, g array<long>")
     keyed = signed.select(F.explode("g").alias("g"), "node")
+
+    def spelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = [[hash_of(k) - (1 << 63) for k in typing_keys(w, common)] for w in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.list_(pa.int64()))], ["node", "g"])
+
+    typed_keys = keys.select("node", "words").mapInArrow(spelled, "node long, g array<long>")
+    keyed = keyed.unionByName(typed_keys.select(F.explode("g").alias("g"), "node"))
     keyed = blocked(keyed, "g", "node", hot_keys(keyed, "g", "node", hot))
     pairs = keyed.alias("x").join(keyed.alias("y"), "g").where((F.col("x.node") < F.col("y.node")) & may_pair(F.col("x.side"), F.col("y.side"))).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
     words = keys.select("node", "words")

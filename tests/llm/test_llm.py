@@ -240,6 +240,20 @@ def test_linked_rows(spark):
     assert {tuple(r) for r in names.linked_rows(rows, companies).collect()} == {("jobs", 1, 10), ("jobs", 7, 10), ("jobs", 6, 12), ("companies", 11, 10)}
 
 
+def test_short_mistyped_words_beside_common_ones_are_linked(spark):
+    from sievework.llm.vec import mix
+
+    letters = "bcdfglmnprtvz"
+    word = lambda x: "".join(letters[(int(x) >> (4 * j)) % 13] + "aeiou"[(int(x) >> (4 * j + 2)) % 5] for j in range(3))[:5]
+    base = sorted({word(x) for x in mix(np.arange(1, 150, dtype=np.uint64))})
+    base = [w for i, w in enumerate(base) if all(names.typed(w, v) > 2 for v in base[:i])]
+    made = [[w, "energy"] for w in base] + [[w[0] + w[2] + w[1] + w[3:], "energy"] for w in base] + [["global", "energy"], ["global", "enegry"]] + [[f"global{'abcdefghij'[i % 10] * 4}{'klmnopqrst'[i // 10] * 4}", "global"] for i in range(60)]
+    rows = [(i, w) for i, w in enumerate(made)]
+    got = {(r.a, r.b) for r in names.links(spark.createDataFrame(rows, "node long, words array<string>")).collect()}
+    n = len(base)
+    assert n > 40 and {(i, i + n) for i in range(n)} <= got and (2 * n, 2 * n + 1) in got
+
+
 def test_stars_do_not_chain(spark):
     edges = [(1, 2, 0.95), (2, 3, 0.95), (3, 4, 0.95), (4, 5, 0.95)]
     both = spark.createDataFrame([(a, b, s) for a, b, s in edges] + [(b, a, s) for a, b, s in edges], "a long, b long, score double")
