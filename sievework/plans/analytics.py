@@ -684,18 +684,22 @@ def source_union(spark, root):
     return union_of(parts).groupBy("part").agg(F.count("*").alias("n"))
 
 
+def _job_forms(spark, root):
+    rows = scoring.prepared(table(ship(spark), root, "jobs", "id", "title", "description"), "title", "description")
+    return robustness.variants(rows, "id", "_both").withColumn("_low", F.lower("_both"))
+
+
 @query()
 def robust_scores(spark, root):
-    forms = robustness.variants(table(ship(spark), root, "user_reports", "report_id", "reason"), "report_id", "reason", n=1).withColumn("low", F.lower("reason"))
-    signals = scoring.fired(scoring.text_signals(F.col("reason"), F.col("low")))
-    rows = forms.select("report_id", "kind", signals.alias("s"))
-    return robustness.robustness(rows, "report_id", scoring.score(F.col("s")))
+    signals = scoring.fired(scoring.text_signals(F.col("_both"), F.col("_low")))
+    rows = _job_forms(spark, root).select("id", "kind", signals.alias("s"))
+    return robustness.robustness(rows, "id", scoring.score(F.col("s")))
 
 
 @query()
 def robust_survival(spark, root):
-    forms = robustness.variants(table(ship(spark), root, "user_reports", "report_id", "reason"), "report_id", "reason", n=1).withColumn("low", F.lower("reason"))
-    return robustness.survival(forms, "report_id", {s.name: s.fires for s in scoring.text_signals(F.col("reason"), F.col("low"))[:6]}).select("signal", "kind", r6("kept").alias("kept"))
+    fires = {s.name: s.fires for s in scoring.text_signals(F.col("_both"), F.col("_low"))}
+    return robustness.survival(_job_forms(spark, root), "id", fires).select("signal", "kind", r6("kept").alias("kept"))
 
 
 @query()

@@ -230,3 +230,15 @@ def test_robustness(spark):
     assert kept["g", "case"] == 1 and kept["g", "order"] == 1
     falls = robustness.ablation(df, "i", "t", ["gift cards", "wire"], lambda t: F.when(t.contains("gift"), 0.5).otherwise(0.1)).collect()
     assert [(r.i, r.word, round(r.fall, 6)) for r in falls] == [(1, "gift cards", 0.4)]
+
+
+def test_robustness_queries_cover_all_signals_of_jobs(spark, tmp_path):
+    from sievework.operators import robustness
+
+    text = "Pay a refundable deposit, give your bank login, buy a gift card. Easy money, no interview, write by private messenger, answer within 3 hours!! See https://a.example. You need knowledge of law. We give profit sharing. Probation lasts a year."
+    rows = [(1, "Clerk", text), (2, "Cook", "short"), (3, None, None)]
+    spark.createDataFrame(rows, "id long, title string, description string").write.parquet(f"{tmp_path}/jobs.parquet")
+    got = catalog.queries()["robust_survival"](spark, str(tmp_path)).collect()
+    names = {s.name for s in scoring.text_signals(F.lit(""), F.lit(""))}
+    assert {(r.signal, r.kind) for r in got} == {(n, k) for n in names for k in robustness.KINDS}
+    assert {r.id for r in catalog.queries()["robust_scores"](spark, str(tmp_path)).collect()} == {1, 2, 3}
