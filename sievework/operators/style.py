@@ -61,3 +61,20 @@ def families(df: DataFrame, key: str, text: str, least: float = 0.75) -> DataFra
     pairs = rare.alias("x").join(rare.alias("y"), "g").where((F.col("x.k") < F.col("y.k")) & (F.least("x.n", "y.n") >= least * F.greatest("x.n", "y.n"))).select(F.col("x.k").alias("a"), F.col("y.k").alias("b")).distinct()
     both = pairs.join(rows.select(F.col("k").alias("a"), F.col("s").alias("sa")), "a").join(rows.select(F.col("k").alias("b"), F.col("s").alias("sb")), "b")
     return both.select("a", "b", T.jaccard(F.col("sa"), F.col("sb")).alias("similarity")).where(F.col("similarity") >= least)
+
+
+def template_families(df: DataFrame, key: str, text: str, least: float = 0.75) -> DataFrame:
+    """(key, family) of all texts that are of one template with another one: families are the components of the pairs of
+    ``families``, named by their least key. Texts with the same set of word pairs are one class before any pairing, so
+    copies never meet each other."""
+    from sievework.operators.graph import components
+    from sievework.session import written
+
+    grams = F.array_sort(F.array_distinct(T.ngrams(T.tokens(F.col(text)), 2)))
+    rows = df.select(F.col(key).alias("k"), F.col(text).alias("t"), grams.alias("s")).where(F.size("s") > 0)
+    rows = rows.select("k", "t", F.sha2(F.concat_ws(",", "s"), 256).alias("h"))
+    classes = written(rows.groupBy("h").agg(F.min(F.struct("k", "t")).alias("c"), F.count("*").alias("n")).select("h", "c.k", "c.t", "n"), "style-classes")
+    pairs = families(classes.select("k", "t"), "k", "t", least)
+    member = components(pairs, "a", "b").withColumnRenamed("node", "k")
+    found = classes.join(member, "k", "left").where("n > 1 or component is not null").select("h", F.coalesce("component", "k").alias("family"))
+    return rows.select("k", "h").join(found, "h").select(F.col("k").alias(key), "family")

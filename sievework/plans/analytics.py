@@ -578,6 +578,11 @@ def style_families(spark, root):
     return style.families(table(spark, root, "eval_items", "item_id", "text"), "item_id", "text", 0.4).select("a", "b", r6("similarity").alias("similarity"))
 
 
+@query()
+def style_template_families(spark, root):
+    return style.template_families(table(ship(spark), root, "jobs", "id", "description"), "id", "description", 0.75)
+
+
 @query("""WITH v AS (SELECT l_extendedprice AS v FROM lineitem WHERE l_extendedprice > 0), d AS (SELECT CAST(floor(v / pow(10, floor(log10(v)))) AS INTEGER) AS digit, count(*) AS n FROM v GROUP BY 1)
 SELECT i::INTEGER AS digit, coalesce(n, 0) AS n, round(coalesce(n, 0) / (SELECT sum(n) FROM d), 6) AS share, round(log10(1 + 1 / i), 6) AS expected FROM range(1, 10) r(i) LEFT JOIN d ON d.digit = i""")
 def quality_leading_digits(spark, root):

@@ -179,6 +179,31 @@ def test_style(spark):
     assert set(pairs) == {(1, 2), (1, 3), (2, 3)} and pairs[1, 3] == 1.0
 
 
+def test_template_families_of_jobs_against_brute_force(spark, tmp_path):
+    import random
+
+    r = random.Random(6)
+    texts = []
+    for _ in range(6):
+        base = [r.choice("abcdefghijklmnop") * r.randrange(1, 4) for _ in range(40)]
+        for edits in (0, 0, 1, 2, 4, 8):
+            one = list(base)
+            for at in r.sample(range(40), edits):
+                one[at] = "new"
+            texts.append(" ".join(one))
+    rows = [(i, t) for i, t in enumerate([*texts, None, "", "word", "two words"])]
+    spark.createDataFrame(rows, "id long, description string").write.parquet(f"{tmp_path}/jobs.parquet")
+    sets = {i: set(zip(t.split(), t.split()[1:])) for i, t in rows if t and len(t.split()) > 1}
+    family = {i: i for i in sets}
+    for _ in sets:
+        for i in sets:
+            for j in sets:
+                if len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.75:
+                    family[j] = min(family[i], family[j])
+    want = {(i, f) for i, f in family.items() if list(family.values()).count(f) > 1}
+    assert {(x.id, x.family) for x in catalog.queries()["style_template_families"](spark, str(tmp_path)).collect()} == want and len(want) >= 12
+
+
 def test_minimal_set(spark):
     rows = [(i % 2, i % 2, (i // 2) % 2, 1) for i in range(40)]
     df = spark.createDataFrame(rows, "y int, a int, b int, c int")
