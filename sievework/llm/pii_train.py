@@ -1,277 +1,384 @@
-"""Training of the tagger of ``pii``: labelled spans from templates, and a BiLSTM-CRF fitted with Adam, all in numpy.
+"""Training of the tagger of ``pii``: labelled spans from a sentence grammar, and a BiLSTM-CRF fitted with Adam, in numpy.
 
     python -m sievework.llm.pii_train MINUTES            from random weights
-    python -m sievework.llm.pii_train MINUTES resume     on from the stored weights, at half the learning rate
-
-The training rows are an endless stream made here with a fixed seed; no table is read.
+    python -m sievework.llm.pii_train MINUTES resume     on from the stored weights, at a lower learning rate
+    python -m sievework.llm.pii_train 0                  figures of the stored weights on the held-out grammar
+
+The rows are an endless stream made here with fixed seeds: names, streets and domains are invented or common ones, contexts
+are composed of short cues and ordinary English (words and sentences of the documentation that comes with Python). No
+table of this project is read, and none of the longer literals, names, streets or domains below stands in one (a test sees
+to that). ``HeldOut`` makes rows from cues, names, streets and domains that ``Maker`` doesn't know; figures come from it.
+Gradients of a step are computed by several processes, each on rows of its own, and averaged.
 """
 
 from __future__ import annotations
 
+import os
 import random
+import re
 import sys
 import time
+from functools import lru_cache
+
+for _name in ("OMP_NUM_THREADS", "OPENBLAS_NUM_THREADS"):
+    os.environ.setdefault(_name, "1")  # one thread a process; the processes share the work
 
-import numpy as np
+import numpy as np  # noqa: E402
 
-from sievework.llm.pii import KINDS, SIZE, TAGS, WEIGHTS, symbol_table
+from sievework.llm.pii import KINDS, SIZE, TAGS, WEIGHTS, symbol_table  # noqa: E402
 
-EMBED, HIDDEN, ROWS, LONGEST = 20, 40, 96, 200
-SEED = 20
+EMBED, HIDDEN, ROWS, LONGEST = 20, 40, 48, 200
+SEED = 31
 
 GIVEN = (
-    "Zofia Callum Dana Marisol Piotr Elodie Anselm Kwame Yusuf Amara Ingrid Noor Renée Hye-jin Tomasz Sunniva Rafael Oskar Josefine Beatrix Chiara Marcus Dmitri Matteo Gustavo "
-    "Leopold Helena Farah Jürgen Iñigo Zoë Anna John Mary Peter Linda James Priya Wei Ahmed Fatima Olga Sven Lars Maria José Ana Luis Paul Emma Lucas Nina Tom Kate Sean Aoife Ravi"
+    "Abigail Adebayo Agnes Aiden Aisling Akira Aleksander Alice Alina Alistair Amelie Amir Angela Anil Antonia Arjun Arthur Astrid Aurora Axel Barnaby Basil Bettina Bianca Bjorn Bogdan Brigitte Bruno Camila "
+    "Carmen Caspian Cecilia Celeste Chidi Claire Claudia Clemens Colette Conrad Cordelia Cyril Dagmar Daphne Darius Deepak Delphine Denise Diego Dorian Douglas Eamon Edith Eduardo Egon Eileen Elena Elias Elisabeta "
+    "Emil Enrique Erik Esther Eugenia Fabian Felicity Fergus Fernanda Fiona Florian Francesca Gareth Gemma Genevieve Gerald Giorgio Gloria Goran Greta Gunther Hamid Hannah Harold Hector Heidi Henrietta Hiroshi Hugo Ian "
+    "Ilse Imogen Irena Isabel Ivan Jacek Jamal Janina Jasper Javier Jerome Jill Joachim Jocelyn Jorge Julien Juno Karim Katarina Kenji Kerstin Kieran Klara Klaus Kofi Lakshmi Laszlo Leila Leon Lionel Lorenzo Louise "
+    "Lucinda Ludmila Magda Malik Manuel Marguerite Martin Matilda Maxim Mei Mercedes Milan Miriam Mohammed Monika Nadia Naomi Natasha Nathaniel Nikolai Norbert Octavia Odette Olivia Orla Oscar Otto Pablo Pascal Paula "
+    "Pedro Penelope Phoebe Quentin Rachel Rashid Regina Reinhard Rhys Roland Rosalind Roxana Ruben Ruth Sabine Salma Samir Sandra Sanjay Saskia Sebastian Sergei Sheila Shirin Silas Simone Solveig Sonia Stella Stuart "
+    "Tamara Tariq Teresa Thandiwe Tiago Timothy Trudy Ulrich Ursula Valentin Vera Viktor Vincent Vivian Walter Wanda Wilhelm Xavier Yasmin Yolanda Yuki Zachary Zainab Anaïs André Björn Chloé Désirée Élise François "
+    "Hélène Jérôme Jörg László Léa Mónica Núria Øystein Raúl Sören Thérèse Ümit Jean-Luc Anne-Marie Karl-Heinz Mary-Jane Marie-Claire Ye-jin Min-ho Soo-ah"
 ).split()
 SURNAMES = (
-    "Trelawick Gristwood Marchetto Pellegrane Brandlow Penrowe Bhattarin Mbatzuri Velmayne Desrochene Dunmorrow Sandovar Castrelle Lindqvar Thackwell Wexcombe Nakashiri Ivermann Orbanek "
-    "Jansrud Fontanero Lorimance Hallorey Okonvar Varghani Quistrom Corvalet Zieliskov Ulmanis Abernock Fairbourne Rostovane Kowalvik Yarrowby Ellwick Smith Jones Miller Brown Garcia "
-    "Novak Kowalski Müller Schmidt Rossi Dubois Okafor Singh Patel Nguyen Kim Larsen Petrov Haddad Silva"
+    "Abbott Achebe Adeyemi Agarwal Albrecht Almeida Andersson Aoki Armitage Atkinson Bailey Banerjee Barlow Bauer Becker Bellini Bennett Bergstrom Bianchi Blackwood Blanchard Bondarenko Boucher Bradshaw Brandt Brennan Burgess "
+    "Calloway Campbell Cardoso Carmichael Chatterjee Chaudhry Chavez Clarke Coleman Connolly Contreras Crawford Cruickshank Czerny Dalgaard Davenport Delacroix Delgado Desai Dhillon Donoghue Dreyer Dufour Eastman Edmonds "
+    "Eklund Engel Eriksen Escobar Farrell Faulkner Ferreira Fielding Fischer Fitzgerald Fontaine Forsythe Fournier Franzen Fujimoto Galloway Gallagher Gauthier Geiger Gibson Goldberg Gonzalez Goodwin Grabowski Grimaldi "
+    "Gupta Gutierrez Hagen Halvorsen Hamilton Hargreaves Hartmann Hashimoto Hawthorne Henriksen Herrera Hoffmann Holloway Horvath Hussain Ibrahim Ivanova Jablonski Jankowski Jennings Johansson Kaminski Kapoor Karlsson "
+    "Kavanagh Keller Kimura Kirchner Koroma Kovacs Kozlov Kruger Lachance Lambert Langley Larkin Lefebvre Lehmann Lindholm Lombardi Lopes Lundgren MacDonald Machado Magnusson Mahoney Malhotra Marchand Marquez Mathews "
+    "Mazur McAllister McCarthy McIntyre Mendoza Mercier Mitchell Moreau Moretti Morozova Mueller Mukherjee Nakamura Navarro Nielsen Nikolaidis Norwood Novotny Nowicki Obi O'Brien O'Connor Odhiambo Oliveira Olsen Ortega "
+    "Osborne Pacheco Papadopoulos Pavlenko Pearce Pellegrini Petersen Pickering Popescu Quigley Radcliffe Ramirez Rasmussen Reinhardt Renard Richter Ridgeway Rinaldi Rodrigues Romero Rosenthal Rousseau Ruiz Salazar Samuelsson "
+    "Santiago Sato Schneider Schreiber Serrano Sharma Sheridan Sinclair Sokolov Sorensen Stapleton Steiner Sutherland Svensson Szabo Takahashi Tanaka Thibault Thompson Thornton Torres Tremblay Underwood Valverde Vandermeer "
+    "Vasquez Vaughan Venkatesan Villeneuve Vogel Volkova Wagner Walczak Watanabe Weatherby Weber Wentworth Whitaker Wilkinson Wojcik Woodhouse Yamada Yilmaz Zamora Zielinski Zimmermann Bäcker Béranger Çelik Günther Köhler "
+    "Nuñez Peña Żak Łukasik de_Vries van_den_Berg da_Costa ter_Horst"
 ).split()
-SYLLABLES = "ka ro mi sel dor van tri bel os fen lu gar wen thal ash im or na zel pra vik mor lin del qui hal ster bro cas jen".split()
-PLACES = "Cor Zel Quar Pell Jor Ives Lan Yar Wex Nor Marl Hol Rose Ash Crow Kel Vas Tor Brack Ulver Elms Tam Sel Fen Osk".split()
-PLACE_ENDS = "ville field stead dale gate port minster crest bury wick combe march haven mouth borough holm grove ton".split()
-STREETS = "Fennel Copperbeech Weaver Cobbler Lantern Juniper Sexton Quarrel Tannery Millrace Harbour_View Old_Orchard Quarry Mill Church Oak King's High Station Maple Bridge Park Hill Meadow Spring".split()
-STREET_KINDS = "Street St St. Road Rd Avenue Ave Ave. Lane Ln Drive Dr Court Ct Row Blvd Blvd. Way Place Close Terrace".split()
-GERMAN = "Gerberstraße Lindenweg Am_Alten_Markt Hauptstraße Bahnhofstraße Schulweg Marktplatz Gartenweg Kirchgasse Lindenallee Bergstrasse".split()
-FRENCH = "rue_des_Lavandières rue_des_Tanneurs rue_des_Tisserands rue_de_la_Gare avenue_Victor_Hugo rue_du_Moulin place_de_l'Église boulevard_Voltaire rue_Pasteur".split()
-DOMAINS = "mailbox.example inboxly.example kestrelmail.test post.example quickpost.test mail.talentdesk.example hr.norrafirm.example gmail.com web.de corp.example.org outlook.example jobs.firm.co.uk".split()
-COMPANIES = "Analytics Capital Consulting Design Energy Foods Healthcare Insurance Laboratories Logistics Manufacturing Media Mobility Robotics Software Staffing Systems Technologies Textiles".split()
-WORDS = (
-    "you will review the plan and keep our records in good order while the team checks every step of the work with care after the first weeks of training we value people who are calm and patient "
-    "about handover notes claim files release notes purchase orders customer renewals the harbour office the night crew a shared workspace the site manager early mornings weekdays before four the returns team"
+SYLLABLES = "ba be bel bor bru cal car cor da del dor dra el en er fal fer fin gal gan gor gra har hel hol is jar jor ka kel kin la lan len lor mal mar mel mon mor nan nel nor ol or pal per pol ra ren rin rol sal san sel sol ta tal tan ter tor ul van ver vol wal wen wil yor zan".split()
+SURNAME_ENDS = "son sen ski ska man mann berg stein wood well ton ley field worth by ov ova enko ic ez ini elli ard eau aux er ier ard away more mont ford hurst sky dal gaard lund quist".split()
+GIVEN_ENDS = "a ia ina elle ette o io ian en an el ius us y ie ine on or in is as eth ara ora".split()
+PLACES = "Alder Amber Barrow Bever Black Brook Cald Clay Copper Dart Dun Earl Farn Glen Gold Grim Hart Hazel High Hunt Kings Lang Long Mans Nether Oak Red River Sand Sher Silver South Stan Stoke Swan Thorn Upper Wat West Whit Wolf".split()
+PLACE_ENDS = "ford ham bury ton ley brook bridge wood well worth by thorpe cliffe stone hill burn land more ridge side water ness beck den hurst lake vale view pool cross castle".split()
+TOWNS = "Aberdeen Antwerp Arhus Basel Bilbao Bologna Bratislava Brno Cardiff Cork Dallas Denver Dundee Eindhoven Exeter Galway Gdynia Ghent Graz Innsbruck Leeds Leiden Linz Lisbon Lucerne Lugano Malmo Mobile Nairobi Oslo Oxford Parma Perth Porto Reno Rotterdam Salem Stirling Tampa Tampere Trieste Tucson Turin Utrecht Venice Warsaw York London Boston".split()
+REGIONS = "AL AK AZ AR CA CO CT DE FL GA HI ID IL IN IA KS KY LA ME MD MA MI MN MS MO MT NE NV NH NJ NM NC ND OH OK OR PA RI SC SD TN TX UT VT VA WA WV WI WY ON QC BC NSW VIC QLD".split()
+STREETS = (
+    "Acacia Albion Alma Arundel Ashgrove Aspen Beaumont Birch Bluebell Bramble Briar Brunswick Cambridge Canal Castle Cavendish Cedar Chapel Charlotte Cherry Chestnut Clarence Clifton Coronation Cypress Dogwood Elder Elm Eastfield Falcon "
+    "Fern Foundry Garden Glebe Gladstone Grange Greenwood Hawthorn Hazelwood Heather Holly Hickory Ivy Jubilee Kingfisher Laburnum Larch Laurel Lavender Lime Linden Magnolia Manor Mulberry Myrtle Nelson Nightingale "
+    "Northgate Osprey Palmerston Pine Poplar Primrose Prince's Queen's Rectory Regent Rosewood Rowan Royal Salisbury Sandringham Shepherd Spruce St_John's Stanley Sycamore Trinity University Vicarage Victoria Walnut "
+    "Washington Wellington Westbourne Willow Windmill Windsor Woodland 2nd 3rd 5th 7th 12th 42nd"
 ).split()
+STREET_KINDS = "Street Street St St. Road Road Rd Rd. Avenue Avenue Ave Ave. Lane Lane Ln Drive Drive Dr Court Ct Row Blvd Blvd. Boulevard Way Place Pl Close Terrace Crescent Square Gardens Grove Mews Passage Parade Circle Parkway Highway Walk Hill Rise Green Alley Wharf Quay".split()
+GERMAN_STEMS = "Ahorn Amsel Birken Blumen Buchen Dorf Eichen Feld Fichten Friedrich Goethe Hafen Kaiser Kloster Mozart Mühlen Quellen Rosen Schiller Sonnen Tannen Ufer Wald Wiesen Ziegel".split()
+GERMAN_ENDS = "straße strasse str. weg gasse allee platz ring damm".split()
+FRENCH_KINDS = "rue_de_la rue_du rue_des rue_de_l' avenue_de_la avenue_du boulevard_de_la boulevard_des impasse_des chemin_du place_de_la quai_de_la allée_des".split()
+FRENCH_STEMS = "République Liberté Fontaine Paix Forêt Plage Victoire Chapelle Colline Rivière Bergers Peupliers Érables Oliviers Cerisiers Pêcheurs Vignes Moissons Château Stade Commerce Parc Marais Pont".split()
+SPANISH = "Calle_de_Alcalá Calle_Mayor Avenida_de_la_Constitución Plaza_del_Sol Calle_de_los_Olivos Paseo_del_Prado Via_Roma Via_Garibaldi Corso_Italia Piazza_Dante".split()
+DOMAINS = "yahoo.com hotmail.com icloud.com aol.com gmx.net proton.me fastmail.fm zoho.eu live.co.uk btinternet.com orange.fr libero.it posteo.net example.net mail.example.edu staff.acme-works.example people.bluefin.test".split()
+TRADES = "Analytics Bank Biotech Capital Chemicals Construction Consulting Design Dynamics Energy Engineering Entertainment Finance Foods Foundation Healthcare Hospital Hotels Industries Institute Instruments Insurance Interactive International Laboratories Logistics Manufacturing Marketing Materials Media Mobility Motors Networks Partners Pharma Properties Publishing Robotics Security Services Shipping Software Solutions Staffing Studios Systems Technologies Telecom Textiles Trading Transport University Ventures".split()
+FORMS = "Ltd LLC GmbH Inc Inc. PLC Group S.A. AG Corp Co. & Sons & Partners Holdings B.V. Limited".split()
+PRODUCTS = "CRM ERP Suite Cloud Studio Platform Portal Desk Hub Manager Pro Server Assistant Tracker Ledger Payroll Academy Programme Initiative Project Framework Campus Tower House Park Centre Building Award".split()
+TITLES = "Mr Ms Mrs Dr Prof Miss Mr. Ms. Mrs. Dr. Prof. Herr Frau".split()
+#: Short texts before a finding of each kind; an empty one is as good as any.
+BEFORE = {
+    "NAME": (
+        "ask for|speak with|talk to|report to|led by|run by|managed by|signed by|written by|sent by|posted by|call|meet|met|contact|see|from|with|by|and|to|of|attention:|attn|dear|hello|hi|regards,|sincerely,|kind regards|thanks,|cc|name:|full name:|manager:|author:|referee:|"
+        "interviewer:|recruiter|agent|director|manager|supervisor|colleague|assistant|our partner|my cousin|your mentor|head of school|the owner|the landlord|a man called|a woman called|someone calling himself|somebody who says she is|a certain|named|i am|this is|the account of|"
+        "payable to|in the name of|on behalf of|addressed to|according to|hosted by|interview with|replies go to|team lead|hiring lead|chair:|candidate|witness|tenant|consultant|nurse|professor|coach|the late|reach|email|phone|ring|please greet|welcome|congratulate|he is|she is|will be|is|was"
+    ).split("|"),
+    "EMAIL": "email:|e-mail|mail|mail to|email us at|send it to|write us:|reach us on|contact|contact:|reply to|at|via|to|from|or|and|cc|using|address:|inbox|forward everything to|applications to|cv to|resume to|queries:|feedback to|reported by|sender:|sender|account|login|my email is|their mail was|answer came from|it arrived from|under|or by mail|<|(".split("|"),
+    "PHONE": "tel|tel.|tel:|phone|phone:|ph.|mobile|mobile:|cell:|fax|call|call:|call us on|dial|ring|text|sms|sms to|whatsapp|telegram|signal|hotline|helpline|office line|direct line|landline|contact|contact:|reach me at|on|at|from|or|or call|under|number|number:|my number is|the number was|caller id|missed calls from|it rang from|message from|by phone:|voicemail|desk phone|(".split("|"),
+    "ADDRESS": "at|located at|based at|we are at|visit|visit us:|come to|come by|address:|address|home address|postal address:|ship to|deliver to|sent to|post to|mail to|mail it to|parcel to|returned to|return to|to|of|from|in|near|office:|our office,|the office at|the flat at|lives at|living at|registered at|warehouse:|site:|venue:|meeting point:|headquarters:|moved to|pick up at|drop off at|collect it from|invoice to|bill to|entrance on|opposite|held at|leave it at|write to|residence:".split("|"),
+}
+ID_LABELS = {
+    "ssn": "SSN|ssn|Social|social|social security|social security number|social security no.|Social Security Number|soc. sec. no.|Social Security #",
+    "nino": "NI number|NINO|nino|NI no.|national insurance|national insurance number|National Insurance No.|n.i. number",
+    "passport": "passport|passport no|passport no.|passport number|Passport|Passport No.|passport #|travel document",
+    "licence": "driving licence|driving licence number|driver's license|drivers license|driver's licence no.|licence no.|license number|driving license|DL number|DL no.",
+    "card": "identity card|identity card no.|ID card|ID card number|national ID|national id number|id no.|tax id|Personalausweis|DNI",
+}
+#: Short texts between a label and its number.
+LABEL_LINKS = "||:|:| is| was| no:| =| -| (|,| #| reads| as| ends up as| given as".split("|")
+AFTER = (
+    "||||.|.|,|;|)|!|?| -| and| or| please| today| tomorrow| at noon| on Monday| before Friday| by friday| for details| if needed| as well| only| asap| after work| any time| during office hours| for more| when you can| to apply| first| again| twice| last week|"
+    " if you have questions| and say so| who knows more| who replied| wrote to me| called me| says so| will help| will call you| is in charge| signed it| is on leave| joined us| answers mail| never answered| wanted a fee| which looks odd| with a cover letter| and wait| within a week|, thanks|, then wait| (office)| (mobile)| (private)| is fake| is closed| is on the form| was on the letter"
+).split("|")
+
+
+@lru_cache(maxsize=1)
+def ordinary() -> tuple[list[str], list[str]]:
+    """Words and plain sentences of the documentation of the Python language and its standard library."""
+    import importlib
+    import pydoc
+
+    from pydoc_data import topics
+
+    texts = list(topics.topics.values())
+    for name in "argparse ast asyncio calendar collections csv datetime decimal difflib email functools gettext heapq html http imaplib inspect io ipaddress itertools json locale logging mailbox math multiprocessing os pathlib pickle platform random re sched shutil smtplib socket sqlite3 ssl statistics string subprocess tarfile tempfile textwrap threading tkinter tokenize typing unittest urllib uuid venv warnings wave weakref xml zipfile zoneinfo".split():
+        try:
+            module = importlib.import_module(name)
+        except ImportError:
+            continue
+        texts.append(module.__doc__ or "")
+        texts += [pydoc.getdoc(x) for x in vars(module).values() if callable(x)]
+        texts += [pydoc.getdoc(y) for x in vars(module).values() if isinstance(x, type) for y in vars(x).values() if callable(y)]
+    joined = re.sub(r"[ \t]*\n[ \t]*(?=\S)", " ", "\n\n".join(dict.fromkeys(texts)))
+    sentences = sorted({s for s in re.findall(r"(?<![\w\"'`.])[A-Z][a-z]+(?:,? [a-z][a-z'-]*){3,24}\.(?=\s|$)", joined)})
+    words = sorted({w.strip("'-") for s in sentences for w in re.findall(r"(?<!\w)[a-z][a-z'-]+", s) if len(w) > 1})
+    return words, sentences
 
 
 class Maker:
     """Random sentences with labelled spans."""
 
+    given_names, surnames, streets, domains, towns, before = GIVEN, SURNAMES, STREETS, DOMAINS, TOWNS, BEFORE
+    known = 0.6  # share of names from the lists, the rest is invented
+
     def __init__(self, seed: int):
         self.r = random.Random(seed)
+        self.words, self.sentences = ordinary()
 
-    def pick(self, options):
+    def pick(self, options) -> str:
         return self.r.choice(options).replace("_", " ")
 
+    def chance(self, p: float) -> bool:
+        return self.r.random() < p
+
     def digits(self, n: int) -> str:
         return "".join(self.r.choice("0123456789") for _ in range(n))
 
-    def made(self, low: int, high: int) -> str:
-        return "".join(self.r.choice(SYLLABLES) for _ in range(self.r.randint(low, high))).capitalize()
+    def made(self, low: int, high: int, end: str = "") -> str:
+        return ("".join(self.r.choice(SYLLABLES) for _ in range(self.r.randint(low, high))) + end).capitalize()
 
     def place(self) -> str:
-        return self.pick(PLACES) + (self.pick(["", "", "am", "is", "en"])) + self.pick(PLACE_ENDS)
+        x = self.r.random()
+        town = self.pick(PLACES) + self.pick(PLACE_ENDS) if x < 0.55 else self.pick(self.towns) if x < 0.75 else self.made(1, 3, self.pick(PLACE_ENDS)) if x < 0.9 else self.made(2, 3)
+        return self.pick(["New", "Port", "Saint", "St", "Fort", "Lake", "Mount", "Great", "Upper", "Bad", "San"]) + " " + town if self.chance(0.1) else town
 
     def org(self) -> str:
-        return self.made(2, 3) + self.pick(["", " " + self.pick(COMPANIES)]) + self.pick(["", "", " Ltd", " GmbH", " Inc", " PLC", " Group", " S.A."])
+        x = self.r.random()
+        head = self.made(2, 3) if x < 0.6 else self.pick(self.surnames) if x < 0.8 else f"{self.pick(self.surnames)} & {self.pick(self.surnames)}"
+        if self.chance(0.1):
+            head = f"{self.pick(self.given_names)} {self.pick(self.surnames)} & {self.pick(['Sons', 'Daughters', 'Co', 'Partners', 'Associates'])}"
+        name = head + self.pick(["", " " + self.pick(TRADES), " " + self.pick(TRADES), " " + self.pick(TRADES) + " " + self.pick(TRADES)]) + self.pick(["", "", " " + self.pick(FORMS)])
+        return name.upper() if self.chance(0.08) else name
+
+    def product(self) -> str:
+        return self.pick([self.made(2, 3) + " " + self.pick(PRODUCTS), self.pick(self.words).capitalize() + " " + self.pick(PRODUCTS), "Project " + self.made(2, 3), "Project " + self.made(2, 3) + " " + self.made(2, 3), self.made(2, 3), self.pick(self.words).capitalize() + " " + self.pick(self.words).capitalize()])
 
     def given(self) -> str:
-        return self.pick(GIVEN) if self.r.random() < 0.75 else self.made(2, 3)
+        return self.pick(self.given_names) if self.chance(self.known) else self.made(1, 2, self.pick(GIVEN_ENDS)) if self.chance(0.7) else self.made(2, 3)
 
     def surname(self) -> str:
-        one = lambda: self.pick(SURNAMES) if self.r.random() < 0.7 else self.made(2, 4)
-        return one() + ("-" + one() if self.r.random() < 0.15 else "")
+        one = lambda: self.pick(self.surnames) if self.chance(self.known) else self.made(1, 2, self.pick(SURNAME_ENDS)) if self.chance(0.6) else self.made(2, 4)
+        return one() + ("-" + one() if self.chance(0.12) else "")
 
     def name(self) -> str:
         g, s, x = self.given(), self.surname(), self.r.random()
         i = self.r.choice("ABCDEFGHIJKLMNOPRSTVWZ") + "."
-        form = f"{g} {s}" if x < 0.5 else f"{s}, {g}" if x < 0.65 else f"{g[0]}. {s}" if x < 0.8 else f"{g} {i} {s}" if x < 0.95 else f"{g[0]}. {i} {s}"
+        form = f"{g} {s}" if x < 0.5 else f"{s}, {g}" if x < 0.64 else f"{g[0]}. {s}" if x < 0.78 else f"{g} {i} {s}" if x < 0.9 else f"{g[0]}. {i} {s}" if x < 0.94 else f"{s}, {g[0]}." if x < 0.97 else f"{g} {self.given()} {s}"
         y = self.r.random()
-        return form.upper() if y < 0.1 else form.lower() if y < 0.18 else form
+        return form.upper() if y < 0.1 else form.lower() if y < 0.22 else form
 
     def email(self) -> str:
         import unicodedata
 
         low = lambda t: "".join(c for c in unicodedata.normalize("NFKD", t).lower() if c.isascii() and (c.isalnum() or c == "-"))
-        g, s = low(self.given()).replace("-", ""), low(self.surname())
-        local = self.r.choice([f"{g}.{s}", f"{g[0]}{s}", f"{g}_{s}{self.digits(2)}", f"{s}.{g}+jobs", f"{g}{self.digits(3)}", f"{s}{self.digits(2)}", f"{g}-{s}", f"{g}.{s}"])
-        domain = self.pick(DOMAINS) if self.r.random() < 0.7 else self.made(2, 3).lower() + self.r.choice([".example", ".test", ".com", ".org", ".co.uk", ".net"])
-        x = self.r.random()
-        if x < 0.15:
+        g, s, d = low(self.given()).replace("-", ""), low(self.surname()), self.digits
+        w = self.pick(self.words).replace("'", "")
+        local = self.r.choice([f"{g}.{s}", f"{g}.{s}", f"{g}.{s}{d(2)}", f"{g[0]}{s}", f"{g[0]}.{s}", f"{g}_{s}", f"{g}_{s}{d(2)}", f"{s}.{g}", f"{s}.{g}+{w}", f"{g}{d(3)}", f"{g}{d(2)}", f"{s}{d(4)}", f"{g}-{s}", w, f"{w}.{s}", f"{s}+{w}{d(1)}", f"{g}.{s[0]}.{s}"])
+        domain = self.pick(self.domains) if self.chance(0.5) else self.r.choice(["", "", "", "mail.", "hr.", "post."]) + self.r.choice([self.made(2, 3).lower(), w, w + "-" + self.pick(self.words).replace("'", "")]) + self.r.choice([".example", ".test", ".com", ".org", ".co.uk", ".net", ".de", ".fr", ".io", ".biz", ".com.au", ".example.org"])
+        if self.chance(0.12):
             local = local.upper()
-        y = self.r.random()
-        if y < 0.6:
+            domain = domain.upper() if self.chance(0.4) else domain
+        if self.chance(0.6):
             return f"{local}@{domain}"
-        at = self.r.choice([" (at) ", " [at] ", " at ", "(at)", " AT "])
-        dot = self.r.choice([" dot ", " [dot] ", " (dot) ", "."]) if at != " at " else self.r.choice([" dot ", " [dot] "])
+        at = self.r.choice([" (at) ", " [at] ", " at ", " at ", "(at)", "[at]", " AT ", " (AT) ", " @ "])
+        dot = self.r.choice([" dot ", " dot ", " [dot] ", " (dot) ", "(dot)", "[dot]", "."]) if at not in (" at ", " AT ") else self.r.choice([" dot ", " dot ", " [dot] ", " (dot) "])
         return local + at + domain.replace(".", dot)
 
     def phone(self) -> str:
-        d = self.digits
-        a = self.r.choice(["212", "312", "415", "503", "617", "702", "808", d(3)])
-        return self.r.choice(
-            [
-                f"+44 1632 960 {d(3)}", f"01632 960{d(3)}", f"01632 960 {d(3)}", f"07700 900 {d(3)}", f"07700 900{d(3)}", f"+44 (0)7700 900{d(3)}", f"+44 7700 900{d(3)}",
-                f"+1 {a} 555 {d(4)}", f"+1-{a}-555-{d(4)}", f"({a}) 555-{d(4)}", f"{a}-555-{d(4)}", f"{a}.555.{d(4)}", f"{a}555{d(4)}",
-                f"+49 30 23125 {d(3)}", f"+33 1 99 00 {d(2)} {d(2)}", f"+{d(2)} {d(2)} {d(3)} {d(4)}", f"0{d(3)} {d(7)}", f"+49 {d(3)} {d(7)}",
-            ]
-        )
+        d, ch = self.digits, self.r.choice
+        a, area = ch("23456789") + d(2), d(2)
+        kind = self.r.randint(0, 5)
+        if kind < 2:  # North America
+            s = ch("-- .")
+            return ch([f"({a}) {d(3)}-{d(4)}", f"({a}){d(3)}-{d(4)}", f"{a}{s}{d(3)}{s}{d(4)}", f"{a}{s}{d(3)}{s}{d(4)}", f"+1 {a} {d(3)} {d(4)}", f"+1-{a}-{d(3)}-{d(4)}", f"1-{a}-{d(3)}-{d(4)}", f"{a}{d(7)}", f"+1{a}{d(7)}", f"+1 ({a}) {d(3)}-{d(4)}"])
+        if kind == 2:  # United Kingdom
+            m = ch(["7", "20", "161", "1" + d(3), "7" + d(3)])
+            tail = ch([f"{d(3)} {d(3)}", f"{d(6)}", f"{d(3)} {d(4)}", f"{d(4)} {d(4)}"])
+            return ch([f"0{m} {tail}", f"0{m}{tail}", f"+44 {m} {tail}", f"+44 (0){m} {tail}", f"+44{m}{tail}", f"0044 {m} {tail}", f"(0{m}) {tail}"])
+        if kind == 3:  # Germany, Austria
+            m = ch([area, d(3), "1" + d(2)])
+            return ch([f"+49 {m} {d(5)} {d(3)}", f"+49 {m} {d(7)}", f"0{m}/{d(6)}", f"0{m} {d(7)}", f"+49 (0){m} {d(6)}", f"0{m}-{d(7)}", f"+43 {m} {d(6)}"])
+        if kind == 4:  # France
+            return ch(["+33 " + ch("12345679"), "0" + ch("12345679"), "+33 (0)" + ch("12345679")]) + "".join(ch([" ", " ", " "]) + d(2) for _ in range(4)) if self.chance(0.8) else "0" + ch("1234567") + "".join("." + d(2) for _ in range(4))
+        return ch([f"+{d(2)} {d(2)} {d(3)} {d(4)}", f"+{d(3)} {d(3)} {d(6)}", f"+{d(2)} {d(10)}", f"+{d(2)}-{d(2)}-{d(4)}-{d(4)}", f"00{d(2)} {d(3)} {d(7)}", f"0{d(4)} {d(6)}", f"0{d(4)} {d(3)} {d(3)}", f"+{d(12)}"])
 
     def identity(self) -> tuple[str, str]:
         d, ch = self.digits, self.r.choice
-        kind = ch(["ssn", "nino", "passport", "licence"])
+        kind = ch(["ssn", "nino", "passport", "licence", "licence", "card"])
+        up = lambda n: "".join(ch("ABCDEGHJKLMNPRSTWXYZ") for _ in range(n))
         if kind == "ssn":
-            a = ch(["000", "666", d(3)])
-            return ch(["ssn", "SSN", "Social", "social security number", "Social Security No."]), ch([f"{a}-{d(2)}-{d(4)}", f"{a} {d(2)} {d(4)}", f"{a}{d(6)}"])
-        if kind == "nino":
-            q = ch(["QQ", "AB", "JK"])
-            return ch(["NI number", "NINO", "national insurance number", "nino"]), ch([f"{q} {d(2)} {d(2)} {d(2)} {ch('ABCD')}", f"{q}{d(6)}{ch('ABCD')}"])
-        if kind == "passport":
-            return ch(["passport no.", "passport", "passport number", "Passport No"]), ch([f"X{d(8)}", f"{ch('ABCDEFGHX')}{d(8)}", f"{d(9)}", f"{ch('CXL')}{d(7)}"])
-        return ch(["driving licence", "driver's license", "licence no.", "driving license number"]), ch([f"D000-{d(4)}-{d(4)}", f"{ch('DSX')}{d(3)}-{d(4)}-{d(4)}", f"{ch('DSX')}{d(12)}"])
+            a = ch(["000", d(3), d(3)])
+            number = ch([f"{a}-{d(2)}-{d(4)}", f"{a}-{d(2)}-{d(4)}", f"{a} {d(2)} {d(4)}", f"{a}{d(6)}"])
+        elif kind == "nino":
+            q, e = up(2) if self.chance(0.7) else "QQ", ch("ABCD")
+            number = ch([f"{q} {d(2)} {d(2)} {d(2)} {e}", f"{q}{d(6)}{e}", f"{q} {d(6)} {e}", f"{q}-{d(2)}-{d(2)}-{d(2)}-{e}"])
+        elif kind == "passport":
+            number = ch([f"{up(1)}{d(8)}", f"{d(9)}", f"{up(1)}{d(7)}", f"{up(2)}{d(7)}", f"{up(1)}{d(2)} {d(3)} {d(3)}", f"{d(2)}{up(2)}{d(5)}"])
+        elif kind == "licence":
+            a = up(1)
+            number = ch([f"{a}{d(3)}-{d(4)}-{d(4)}", f"{a}{d(3)} {d(4)} {d(4)}", f"{a}{d(12)}", f"{a}{d(7)}", f"{d(8)}", f"{up(5)}{d(6)}{up(2)}{d(1)}{up(2)}", f"{a}{d(2)}-{d(2)}-{d(4)}", f"{a}{d(3)}-{d(3)}-{d(2)}-{d(3)}-0"])
+        else:
+            number = ch([f"{d(8)}{up(1)}", f"{up(1)}{d(8)}", f"{d(9)}", f"{up(2)}{d(6)}", f"{d(3)} {d(3)} {d(3)}", f"{up(1)}{d(3)}{up(2)}{d(3)}"])
+        if self.chance(0.08):
+            number = number.lower()
+        return self.pick(ID_LABELS[kind].split("|")), number
 
     def address(self) -> str:
-        d, ch = self.digits, self.r.choice
-        n = str(self.r.randint(1, 999)) + ch(["", "", "", "", "B", "A"])
-        town, zip_code = self.place(), d(5)
-        x = self.r.random()
-        if x < 0.12:
-            return f"{ch(['P.O. Box', 'P.O. Box', 'PO Box', 'P. O. Box'])} {d(3)}, {town}" + ch([f" {zip_code}", f" {zip_code}", "", f", {ch(['RW', 'OG', 'LQ', 'KN', 'NY'])} {zip_code}"])
-        if x < 0.27:
-            return f"{self.pick(GERMAN)} {self.r.randint(1, 999)}, {zip_code} {town}"
-        if x < 0.42:
-            return f"{n} {self.pick(FRENCH)}, {zip_code} {town}"
-        street = f"{n} {self.pick(STREETS) if self.r.random() < 0.8 else self.made(2, 3)} {self.pick(STREET_KINDS)}"
-        if x < 0.52:
-            return f"{street} in {town}".lower()
-        if self.r.random() < 0.2:
-            street = f"{ch(['Unit', 'Flat', 'Apt', 'Suite'])} {self.r.randint(1, 40)}, {street}"
-        elif self.r.random() < 0.2:
-            street += f", {ch(['Apt', 'Flat', 'Unit', 'Suite'])} {self.r.randint(1, 40)}"
-        tail = ch([f", {town}", f", {town}", f", {town}, {ch('ABCKLMNOQRSTVW')}{ch('ABCGHKLMNQSXY')} {zip_code}", f", {town} {zip_code}", f", {ch(['Fort ', 'New ', 'Saint '])}{town}", "" if self.r.random() < 0.3 else f", {town}"])
-        out = street + tail
-        return out.lower() if self.r.random() < 0.06 else out
-
-    def plain(self, low: int = 3, high: int = 16) -> str:
-        words = [self.r.choice(WORDS) for _ in range(self.r.randint(low, high))]
-        if self.r.random() < 0.3:
-            words.insert(self.r.randint(0, len(words)), str(self.r.randint(1, 999)))
-        if self.r.random() < 0.3:
-            words.insert(self.r.randint(0, len(words)), self.r.choice([self.made(2, 3), self.org(), "Pinwheel CRM", "Sundial ERP"]))
+        d, ch, r = self.digits, self.r.choice, self.r
+        n = str(r.randint(1, 999) if self.chance(0.85) else r.randint(1000, 9999)) + ch(["", "", "", "", "", "A", "B", "c", "-" + d(1)])
+        town, five, x = self.place(), d(5), r.random()
+        uk = ch("ABCDEGHKLMNOPRSTW") + ch(["", ch("ABDEGHLNRSTUVW")]) + str(r.randint(1, 29)) + " " + d(1) + ch("ABDEFGHJLNPQRSTUWXYZ") + ch("ABDEFGHJLNPQRSTUWXYZ")
+        region = ch(REGIONS) if self.chance(0.6) else ch("ABCDEGHKLMNOPQRSTVW") + ch("ABCDGHKLMNOPQRSTWXY")
+        if x < 0.1:
+            out = f"{ch(['P.O. Box', 'P.O. Box', 'PO Box', 'P. O. Box', 'Post Office Box', 'Box'])} {d(r.randint(2, 5))}, {town}" + ch([f" {five}", f" {five}", "", f", {region} {five}"])
+        elif x < 0.23:
+            street = ch([self.pick(GERMAN_STEMS) + ch(GERMAN_ENDS), self.pick(GERMAN_STEMS) + ch(GERMAN_ENDS), self.made(2, 3) + ch(GERMAN_ENDS), "Am " + ch(["Alten ", "Neuen ", "Großen ", "Hohen ", ""]) + self.pick(GERMAN_STEMS), "An der " + self.made(2, 2), self.made(2, 3) + "er Straße"])
+            out = f"{street} {n}, {five} {town}"
+        elif x < 0.36:
+            kind, stem = self.pick(FRENCH_KINDS), self.pick(FRENCH_STEMS) if self.chance(0.7) else self.made(2, 3) + "s"
+            street = kind + ("" if kind.endswith("'") else " ") + stem
+            out = f"{n} {street}, {five} {town}" if self.chance(0.85) else f"{n}, {street}, {five} {town}"
+        elif x < 0.4:
+            out = f"{self.pick(SPANISH)}{ch([' ', ', '])}{n}, {five} {town}"
+        else:
+            street = self.pick(self.streets) if self.chance(0.6) else self.made(2, 3) if self.chance(0.6) else self.pick(self.words).capitalize() + ch(["", " " + self.pick(self.words).capitalize()])
+            if self.chance(0.08):
+                street = ch(["Old ", "North ", "E. ", "West ", "Upper ", "N ", "S. "]) + street
+            street = f"{n} {street} {self.pick(STREET_KINDS)}"
+            unit = f"{ch(['Unit', 'Flat', 'Apt', 'Apt.', 'Suite', 'Apartment', 'Room', 'Floor', '#'])} {r.randint(1, 60)}{ch(['', '', '', 'B', 'a'])}".replace("# ", "#")
+            if self.chance(0.18):
+                street = f"{unit}, {street}"
+            elif self.chance(0.22):
+                street += f", {unit}" if self.chance(0.8) else f" {unit}"
+            tail = ch([f", {town}", f", {town}", f", {town}, {region} {five}", f", {town} {region} {five}", f", {town}, {region}", f", {town} {five}", f", {town} {uk}", f", {town}, {uk}", f", {five} {town}", f" in {town}", f" in {town}", ""])
+            out = street + tail
+        y = r.random()
+        return out.lower() if y < 0.14 else out.upper() if y < 0.17 else out
+
+    def plain(self, low: int, high: int) -> str:
+        """Ordinary words; now and then with a number or the name of a firm, product or place."""
+        if self.chance(0.4):
+            words = self.r.choice(self.sentences)[:-1].split()
+            n = self.r.randint(low, max(low, high))
+            at = self.r.randint(0, max(0, len(words) - n))
+            words = words[at : at + n]
+        else:
+            words = [self.r.choice(self.words) for _ in range(self.r.randint(low, high))]
+        if self.chance(0.25):
+            words.insert(self.r.randint(0, len(words)), self.r.choice([str(self.r.randint(1, 999)), self.r.choice(["$", "£", "€"]) + self.digits(3) + self.r.choice(["", "0", ",000"]), self.digits(1) + self.r.choice([" percent", "%", " years", " days"])]))
+        if self.chance(0.22):
+            words.insert(self.r.randint(0, len(words)), self.r.choice([self.org, self.product, self.place, lambda: self.made(2, 3)])())
         return " ".join(words)
 
-    def trait(self) -> str:
-        return self.pick("hands-on level-headed self-directed plain-spoken calm curious patient cheerful numerate observant methodical thoughtful flexible punctual".split())
-
-    def manner(self) -> str:
-        return self.pick("by_hand step_by_step without_fuss in_good_time at_short_notice every_quarter on_request as_agreed openly quietly rarely usually".split())
-
-    def channel(self) -> str:
-        return self.pick("a_voice_note a_video_call_with_no_camera an_unlisted_group a_private_messenger an_encrypted_chat text_message_only a_web_form_that_kept_changing a_chat_app".split())
-
-    def role(self) -> str:
-        return self.pick("senior_colleague virtual_secretary remote_assistant site_manager department_chair shift_supervisor hiring_lead people_partner data_typist survey_taker form_processor parcel_forwarder mystery_shopper kitchen_brigade head_of_operations future_teammate".split())
-
-    def site(self) -> str:
-        return self.pick("a_small_studio_above_the_market the_old_mill_building our_hillside_campus the_east_annex two_sites_near_the_ring_road a_converted_tram_shed the_planning_cell the_loading_dock a_squad_of_six our_partner_clinics".split())
-
-    def money(self) -> str:
-        return self.pick("a_wire_to_a_personal_account money_sent_through_a_stranger gift_cards prepaid_vouchers an_equipment_advance a_registration_charge a_courier_bond crypto_tokens bank_details_up_front".split())
-
-    def task(self) -> str:
-        return self.pick("validate maintain inspect archive translate hand_over price monitor label tidy_up reconcile schedule".split()) + " " + self.pick("rental_agreements sensor_readings patient_charts claim_files purchase_orders menu_cards repair_logs course_outlines audit_trails".split())
-
     def decoy(self) -> str:
-        """Sentences that look like personal data but hold none, some of them all in capitals."""
-        text = self._decoy()
-        return text.upper() if self.r.random() < 0.06 else text
-
-    def _decoy(self) -> str:
+        """A sentence without personal data, some with numbers, firms and products that might be taken for it."""
         d, ch, r = self.digits, self.r.choice, self.r
+        x = r.random()
+        if x < 0.22:
+            return ch(self.sentences)
+        if x < 0.4:
+            return self.plain(4, 18).capitalize() + ch([".", ".", "!", "?", ""])
+        if x < 0.62:  # firms, products and projects among ordinary words, at any place and with verbs of their own
+            thing = ch([self.org, self.org, self.product, self.product, self.place])()
+            verb = self.pick("is was grew opened offers needs builds sells hires runs replaced acquired uses supports launched moved expanded joined ships serves leads pays".split())
+            return ch(
+                [
+                    f"{thing} {verb} {self.plain(2, 9)}.", f"{ch(['At', 'For', 'With', 'In', 'Since', 'Through', 'Before', 'Inside'])} {thing}, {self.plain(3, 9)}.", f"{self.plain(2, 8).capitalize()} {ch(['at', 'with', 'for', 'from', 'in', 'by', 'and', 'of', 'to', 'using', 'named'])} {thing}{ch(['.', '', ', ' + self.plain(2, 6)])}",
+                    f"The {thing} {ch(['team', 'office', 'project', 'logo', 'website', 'platform', 'programme', 'account', 'brand', 'branch', 'rollout'])} {verb} {self.product()} {self.plain(2, 6)}.", f"{thing} and {self.org()} {self.plain(2, 7)}", f"{ch(['we', 'they', 'i', 'We', 'You', 'Someone'])} {verb} {thing} {self.plain(2, 7)}",
+                ]
+            )
+        label = ch("order order no. invoice invoice no. ticket case reference ref ref. requisition booking form serial batch version room tracking customer claim policy budget line account code part no. sku contract page project vacancy job id permit container flight isbn".split() + ["order number", "invoice number", "ticket number", "cost centre", "Order", "Invoice", "Ticket", "Case", "Reference", "Form", "Requisition"])
+        number = ch([d(3) + " " + d(3) + " " + d(3), "20" + d(2) + "-" + d(3) + "-" + d(4), d(8), d(7), d(6), "#" + d(7), "00" + d(6), d(4) + "-" + d(4), d(4) + "-" + d(2) + "-" + d(3), d(3) + "-" + d(2) + "-" + d(4) + "-" + d(2), ch("ABCDXZ") + d(6), ch("ABCDXZ") + d(2) + "-" + d(5), "INV-" + d(6), d(4) + "/" + d(3), d(10), ch("AQTX") + ch("AQTX") + "-" + d(4) + "-" + d(3), d(4) + " " + d(4) + " " + d(4), "v" + d(1) + "." + d(2) + "." + d(1)])
+        if x < 0.82:
+            return ch([f"{self.plain(1, 6)} {label}{ch([' ', ': ', ' '])}{number}{ch(['', '.', ', ' + self.plain(1, 6), ' ' + self.plain(1, 8)])}", f"{label.capitalize()} {number} {self.plain(2, 8)}.", f"{label} {number}"])
         return ch(
             [
-                f"Order no. {d(3)} {d(3)} {d(3)} shipped with {r.randint(2, 40)} boxes.", f"Requisition 20{d(2)}-{d(3)}-{d(4)} is open until further notice.", f"Ticket 00{d(r.randint(5, 6))} was closed, see page {d(3)}.",
-                f"Budget line {d(r.randint(3, 4))}-{d(2)}-{d(r.randint(2, 3))} covers the move.", f"Form @{d(2)}-B is due @ 9am on day {r.randint(1, 12)}.", f"Handle on the forum: @{ch(['night', 'day', 'late'])}_{ch(['crew', 'shift', 'team'])}_{d(2)}.",
-                f"Find the guide at https://docs.{self.made(2, 3).lower()}.example/apply?id={d(3)}.", f"Shifts run 0{d(1)}:00-16:30, later 14:00-22:{d(2)}.", f"Room {d(3)}, level {r.randint(1, 20)}, is booked for {d(2)}/{d(2)}/20{d(2)}.",
-                f"We follow handbook section {r.randint(1, 50)}.{r.randint(1, 9)}.{r.randint(1, 12)} and plan 401(k) matching.", f"At {self.org()}, calm people find free lunches and steady work.", f"Project {self.made(2, 3)} {self.made(2, 3)} aims for better retention across {d(3)} accounts.",
-                f"The {self.made(2, 3)} programme replaced Sundial ERP with {self.made(2, 3)}, and you finish the move of repair logs.", f"Invoice {d(6)} and order {d(8)} were paid by {self.org()}.", f"Travel to two sites near the ring road happens {d(2)} times a year.",
-                f"You split the week between two sites near the ring road and the new clinic wing, with {self.plain(2, 4)}.", f"Our payroll unit improved {self.plain(2, 5)} by {d(2)} percent at the harbour office.", f"same text was posted under {d(1)} names, all with a profile with no history",
-                f"the post has been up for {d(2)} months and nobody replies about social media rater work", f"pay was said to be {d(3)} a day for remote assistant work", f"Since {self.made(2, 3)} opened we label purchase orders for {d(3)} customers in {d(2)} towns.",
-                f"the contact pushed me to text message only and mentioned {self.made(2, 3)}", f"link leads to a page with a free mail address and a form for bank data", f"No interview for this social media rater post, we settle everything over a video call.",
-                f"Real company, i visited the {ch(['riverside depot', 'north warehouse', 'east annex'])} and met the {ch(['night crew', 'claims desk', 'survey crew'])}", f"Your first {d(2)} parcels arrive at home and you forward them as a data typist.",
-                f"A {self.trait()} colleague from {self.made(2, 3)} will teach you {ch(['Sundial ERP', 'Pinwheel CRM', self.made(2, 3)])} quietly.", f"At {self.org()}, {self.trait()} people find a travel card and steady work.",
-                f"You are {self.trait()}, you like {self.plain(1, 3)}, and you do not mind the winter peak.", f"{ch(['Contact', 'contact'])} pushed me {ch(['by hand', 'on request', 'rarely', 'as agreed'])} to {ch(['a voice note', 'an encrypted chat', 'a video call with no camera'])} and mentioned {self.made(2, 3)}",
-                f"{ch(['Someone', 'someone'])} used the {self.made(2, 3)} logo to hire a {ch(['data typist', 'form processor', 'package inspector'])}", f"You bring {d(1)} years of wound care and a {self.trait()} way of working with the {ch(['claims desk', 'night crew', 'survey crew'])}.",
-                f"For {self.made(2, 3)} we look for a {self.trait()} person with ledger review and {d(1)} years in a similar post.", f"Our yardstick is {ch(['less rework', 'fuller classrooms'])}: last year the {ch(['night crew', 'loading dock'])} improved it by {d(2)} percent.",
-                f"Figures in the header are {ch(['US dollars', 'euros', 'British pounds'])} and apply {ch(['a year', 'a month'])}.", f"Within {d(1)} months you run claims triage for two sites near the ring road on your own.", f"People in {self.plain(1, 3)} report offers with a free mail address more often than others.",
-                f"Send your bank login to confirm the social media rater contract with {self.made(2, 3)}.", f"The role was created after {self.made(2, 3)} grew by {d(2)} percent and the ward sisters asked for help.", f"They wanted {ch(['a starter kit fee', 'an equipment advance'])} before i could start as {ch(['survey taker', 'app tester'])}",
-                f"{ch(['Contact', 'contact'])} pushed me {self.manner()} to {self.channel()} and mentioned {self.made(2, 4)}", f"i {ch(['felt', 'Felt'])} {self.trait()} when the {self.role()} refused to meet at {self.site()}",
-                f"they sent {self.money()} and told me to {self.task()}", f"They wanted {self.money()} before i could start as {self.role()}", f"pay was said to be {d(3)} a day for {self.role()} work, then came {self.money()}",
-                f"After {d(2)} days on {self.channel()} they asked for {self.money()}", f"You will {self.task()} together with our payroll unit and report to {ch(['the', 'a', 'our'])} {self.role()}.", f"not a scam, just a slow reply from the {self.role()}",
-                f"Half of {self.site()} came from other trades, so {self.task()} can be learned at {self.site()}.", f"Looks fine to me, the {self.role()} answered {self.manner()} and showed {ch(['two references', 'proof of training', 'a portfolio link'])}",
-                f"For {self.org()} you {self.task()} {self.manner()}, and the {self.role()} tells {self.site()}.", f"the listing copied {ch(['supplier invoices', 'donor letters'])} from another firm and showed {ch(['a copied logo', 'spelling slips in the contract', 'a free mail address'])}",
-                f"Experience with {self.made(2, 3)} or {self.made(2, 3)} helps, but {self.task()} matters more to {self.site()}.", f"Nobody works alone on {self.task()}: the {self.role()} pairs you with a {self.trait()} mentor.",
-                f"At {self.org()}, {self.trait()} people find a travel card and steady work.",
-                f"Invoice no. {d(4)}-{d(4)} for {self.org()} was sent on {d(2)}.{d(2)}.20{d(2)}.", f"Case {ch('ABXK')}{d(6)} and ticket #{d(7)} are closed.", f"Serial {d(4)} {d(4)} {d(4)}, batch {ch('ABC')}-{d(5)}.", self.plain(6, 20) + ".",
+                f"{self.plain(1, 5)} {ch(['on', 'until', 'since', 'by'])} {d(2)}{ch('./-')}{d(2)}{ch('./-')}20{d(2)} {self.plain(1, 5)}", f"{self.plain(1, 4)} {ch(['from', 'between', 'at'])} {d(2)}:{ch(['00', '15', '30'])} {ch(['to', 'and', '-'])} {d(2)}:{ch(['00', '30'])} {self.plain(0, 4)}", f"{self.plain(1, 5)} {d(r.randint(3, 6))} {self.pick(self.words)} and {d(2)} {self.pick(self.words)}",
+                f"{self.plain(1, 4)} https://{self.pick(self.words)}.example/{self.pick(self.words)}?id={d(r.randint(3, 9))}", f"{self.plain(1, 4)} www.{self.made(2, 3).lower()}.com/{self.pick(self.words)}", f"{self.plain(0, 4)} @{self.pick(self.words)}_{self.pick(self.words)}{ch(['', d(2)])} {self.plain(1, 4)}", f"meet us at {self.pick(self.words)} {self.plain(1, 4)}", f"{self.plain(1, 4)} @ {d(1)}{ch(['am', 'pm'])} {self.plain(0, 4)}",
+                f"{self.plain(0, 4)} {d(r.randint(1, 3))} {ch(['a', 'per', 'an', 'each', 'every'])} {ch(['hour', 'day', 'week', 'month', 'shift', 'piece', 'page', 'person', 'item', 'mile'])} {self.plain(0, 6)}", f"{self.plain(0, 3)} {ch(['room', 'Room', 'hall', 'Hall', 'floor', 'Floor', 'level', 'Level', 'gate', 'Gate', 'desk', 'Desk', 'row', 'page', 'chapter', 'table', 'shelf', 'bay', 'line'])} {d(r.randint(1, 3))}, {ch(['level', 'floor', 'row', 'seat', 'wing', 'page', 'aisle', 'block', 'column', 'door'])} {d(r.randint(1, 2))}{ch(['', '.', ', ' + self.plain(1, 5), ' ' + self.plain(1, 5)])}",
+                f"{d(r.randint(1, 3))} {self.plain(2, 8)} {ch(['in', 'for', 'of', 'with', 'within', 'by', 'from'])} {d(r.randint(1, 3))} {self.pick(self.words)} {ch(['', 'in ' + self.place(), 'at ' + self.org()])}",
+                f"{self.plain(0, 3)} section {d(1)}.{d(1)}.{d(2)} and {d(3)}({ch('kbc')}) {self.plain(1, 4)}", f"{self.plain(1, 4)} {ch('$£€')}{d(2)},{d(3)} {ch(['-', 'to'])} {ch('$£€')}{d(3)},{d(3)} {self.plain(0, 4)}", f"{d(r.randint(1, 3))} {self.pick(self.words)} {self.pick(self.words)} {ch(['in', 'at', 'near'])} {self.place()}", f"{self.pick(self.words).capitalize()} in {self.place()}, {self.place()} and {self.place()}", f"{self.place()}, {ch(REGIONS)}: {self.plain(2, 6)}", f"{self.place()} {self.pick(STREET_KINDS)} {self.plain(2, 6)}",
             ]
         )
 
-    def parts(self) -> list[tuple[str, str | None]]:
-        """One sentence as (string, kind or None) parts."""
-        ch = self.r.choice
-        N, E, P, A = (self.name(), "NAME"), (self.email(), "EMAIL"), (self.phone(), "PHONE"), (self.address(), "ADDRESS")
-        label, number = self.identity()
-        ID = (number, "ID")
-        t = lambda s: (s, None)
-        title = ch(["Mr ", "Ms ", "Mrs ", "Dr ", "Ms. ", "Mr. ", "Dr. ", "", ""])
-        made = [
-            [t("Your contact is "), t(title), N, t(", reachable under "), P, t(" on weekdays.")],
-            [t("Questions go to "), t(title), N, t(" at "), E, t(" or by phone on "), P, t(".")],
-            [t("The opening was entered by "), N, t(", extension of the main desk, mail: "), E, t(ch(["", " "]) + self.plain(0, 3))],
-            [t("For the badge we keep " + label + " "), ID, t(" of "), t(title), N, t(" on file.")],
-            [t("Call or text "), P, t(" to arrange a first talk.")],
-            [t("Interviews are held at "), A, t(", ask for "), t(title), N, t(" at the desk.")],
-            [t("Write to "), E, t(" with the subject line of your choice.")],
-            [t("Example entry in the form: " + label + " "), ID, t(", address "), A, t(".")],
-            [t("Drop documents off at "), A, t(".")],
-            [t("Send the signed form to "), A, t(" before Friday.")],
-            [t("WhatsApp "), P, t(", mail "), E, t(", we answer both.")],
-            [N, t(" handles this opening ("), E, t(")"), t(ch([".", ""]))],
-            [t("contact: "), N, t(" / "), P, t(" / "), E],
-            [t("got texts from "), P, t(" and later from "), (self.phone(), "PHONE"), t(ch(["", "; "]) + self.plain(0, 6))],
-            [t("they called me from "), P, t(" at night"), t(ch(["", ", " + self.plain(2, 6)]))],
-            [t("the cheque was made out to "), N, t(", "), A],
-            [t("i already gave them my " + label + " "), ID, t(" and now i am worried")],
-            [t("they kept a copy of my passport and of " + label + " "), ID],
-            [t("a person named "), N, t(" wrote from "), E, t(" and wanted money")],
-            [t("told me to post the laptop to "), A],
-            [t("reply address is "), E, t(" which is not the company")],
-            [t("my name is "), N, t(" and my " + label + " is "), ID, t(", can you check what they did with it")],
-            [t("my own number is "), P, t(", please call me back, "), N],
-            [t("recruiter "), N, t(" says the office is at "), A, t(ch(["", " but it is a car park"]))],
-            [t(self.plain(1, 8) + " "), ch([E, P]), t(" " + self.plain(1, 8))],
-            [t(ch(["Please ask ", "Speak to ", "Hiring manager: ", "Interviewer ", "signed by ", "Regards, ", "Attn: ", "met with ", "thanks to "]) + title), N, t(ch([".", ", " + self.plain(2, 6), " " + self.plain(2, 6), ""]))],
-            [t(ch(["Our office: ", "Visit us at ", "the building at ", "Address: ", "located at ", "come to "])), A, t(ch([".", ", " + self.plain(2, 5), " " + self.plain(2, 5), ""]))],
-            [t(ch(["Tel. ", "Phone: ", "tel: ", "Mobile ", "Fax ", "ring ", "on "])), P, t(ch([".", " " + self.plain(1, 5), ", ", " or "])), ch([E, t("")])],
-            [N, t(" ("), P, t(", "), E, t(") " + self.plain(1, 5))],
-            [t(label + ": "), ID, t(ch([".", ", " + self.plain(1, 5), ""]))],
-        ]
-        return ch(made)
+    def one(self, kind: str) -> list[tuple[str, str | None]]:
+        """A finding with what introduces it."""
+        if kind == "ID":
+            label, number = self.identity()
+            link = self.pick(LABEL_LINKS)
+            link = link if link.endswith("(") else link + " "
+            before = self.pick(["", "", "my ", "your ", "the ", "her ", "his ", "their ", "with ", "a copy of ", "and ", "bring "])
+            if self.chance(0.08):
+                return [(before, None), (number, "ID"), (f" ({label})", None)]
+            return [(before + label + link, None), (number, "ID"), (")" if link.endswith("(") else "", None)]
+        before = self.pick(self.before[kind]) if self.chance(0.8) else ""
+        if before and self.chance(0.25):
+            before = before.capitalize()
+        gap = "" if not before or before[-1] in "(<" else " "
+        title = self.pick(TITLES) + " " if kind == "NAME" and self.chance(0.3) else ""
+        value = {"NAME": self.name, "EMAIL": self.email, "PHONE": self.phone, "ADDRESS": self.address}[kind]()
+        if kind == "PHONE" and self.chance(0.06):
+            return [(before + gap + title, None), (value, kind), (self.pick([" ext ", " ext. ", " x", " extension "]) + self.digits(3), None)]
+        return [(before + gap + title, None), (value, kind), (")" if before.endswith("(") else ">" if before.endswith("<") else "", None)]
 
     def example(self) -> tuple[str, list[tuple[int, int, str]]]:
         text, spans = "", []
-        count = 1 if self.r.random() < 0.8 else 2
-        if self.r.random() < 0.12:
-            text = self.r.choice(["- ", "* ", "• "])
-        for i in range(count):
-            if i:
-                text += self.r.choice([", ", "; ", ". ", " - ", " "])
-            if self.r.random() < 0.4:
-                text += self.decoy()
-                continue
-            start = len(text)
-            for s, kind in self.parts():
+
+        def add(parts) -> None:
+            nonlocal text
+            for s, kind in parts:
                 if kind:
                     spans.append((len(text), len(text) + len(s), kind))
                 text += s
-            if self.r.random() < 0.25 and len(text) > start:  # capital or not at the start of a sentence
-                head = text[start]
-                if not any(a == start for a, _, _ in spans):
-                    text = text[:start] + (head.upper() if head.islower() else head.lower()) + text[start + 1 :]
-        if self.r.random() < 0.15:
-            text += self.r.choice(["; ", ", ", " ", ". "]) + self.plain(2, 8)
+
+        if self.chance(0.1):
+            add([(self.pick(["- ", "* ", "• ", "1. ", "> "]), None)])
+        for i in range(1 if self.chance(0.7) else 2):
+            if i:
+                add([(self.pick([". ", ", ", "; ", " - ", " ", "... ", " / "]), None)])
+            if self.chance(0.42):
+                text += self.decoy()
+                continue
+            if self.chance(0.6):
+                text += self.plain(1, 8) + self.pick([" ", " ", " ", ", ", ": ", " - "])
+            for j in range(self.r.choice([1, 1, 1, 2, 2, 3])):
+                if j:
+                    add([(self.pick([", ", ", ", " ", " (", " / ", " and ", " or ", "; ", " - ", " | ", " at ", " on ", " of ", " with ", ": ", " " + self.plain(1, 4) + " "]), None)])
+                add(self.one(self.r.choice(["NAME", "NAME", "NAME", "EMAIL", "PHONE", "PHONE", "ADDRESS", "ADDRESS", "ID"])))
+            add([(self.pick(AFTER) if self.chance(0.6) else self.pick([" ", ", ", ". "]) + self.plain(1, 8), None)])
+        text = text.replace("\n", " ")
+        if not spans and self.chance(0.06):
+            text = text.upper() if len(text.upper()) == len(text) else text
         return text, spans
 
 
+class HeldOut(Maker):
+    """Rows with cues, names, streets, domains and towns that ``Maker`` doesn't have, and other sentences."""
+
+    given_names = "Brynn Dashiell Esperanza Ferdinand Gideon Hortense Ignacio Jolanta Kazimir Linnea Mateusz Nkechi Orsolya Philippa Rosamund Siobhan Tobias Vasily Winifred Zdenka".split()
+    surnames = "Ashdown Bartholomew Cavallari Drummond Esterhazy Featherstone Gutmann Haverford Ishikawa Jorgensen Kowalczyk Lancaster Montague Nightshade Oyelaran Przybylski Rothschild Stravinsky Trevelyan Wyndham".split()
+    streets = "Abbey Beacon Carlton Dovecote Elgin Furnace Gosling Harrow Inkerman Jasmine Kestrel Lodge Meridian Norfolk Oriel Pembroke Quaker Rosemary Sussex Tavistock".split()
+    domains = "inbox.lv seznam.cz web.de mail.ru laposte.net telus.net tutanota.com gmail.com outlook.com".split()
+    towns = "Odense Bergen Krakow Plovdiv Coimbra Girona Halifax Inverness Limerick Ostend Pisa Ravenna Seville Toledo Uppsala Vigo Winnipeg Zurich".split()
+    known = 0.7
+    before = {
+        "NAME": "please let|we asked|you will work beside|thank you for writing to|an introduction to|the person in charge is|sent on by|approved by|supplied by|hand it over to|the trainer is|feel free to approach|as told by|yours faithfully,".split("|"),
+        "EMAIL": "documents may be sent to|the mailbox is|apply through|get in touch:|drop a line to|copy in|found this sender:".split("|"),
+        "PHONE": "give us a ring on|available by telephone on|leave a message at|the switchboard is|our line:|text back to|unknown caller".split("|"),
+        "ADDRESS": "the workshop stands at|you will find us at|interviews take place at|please return the badge to|parcels go to|current residence|we have moved into".split("|"),
+    }
+
+
 def encoded(text: str, spans: list[tuple[int, int, str]]) -> tuple[np.ndarray, np.ndarray]:
     symbols = symbol_table()[np.frombuffer(text.encode("utf-32-le"), np.uint32)]
     tags = np.zeros(len(text), np.int64)
@@ -376,42 +483,90 @@ def loss_and_gradient(w: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, le
     grad["emb"] = d_emb
     return float((total - gold).mean()), {k: v / n for k, v in grad.items()}
 
+class _Rows:
+    """Rows of one process, in batches of about equal length."""
+
+    def __init__(self, seed: int):
+        self.maker, self.pool, self.order = Maker(seed), [], random.Random(SEED)
+
+    def batch(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        if not self.pool:
+            rows = sorted((p for p in (encoded(*self.maker.example()) for _ in range(ROWS * 12)) if len(p[0]) > 3), key=lambda p: len(p[0]))
+            self.pool = [rows[i : i + ROWS] for i in range(0, len(rows), ROWS)]
+            self.order.shuffle(self.pool)  # the same order in all processes, so that they have rows of like lengths at a time
+        rows = self.pool.pop()
+        lengths = np.array([len(a) for a, _ in rows])
+        x, y = np.zeros((len(rows), lengths.max()), np.int64), np.zeros((len(rows), lengths.max()), np.int64)
+        for i, (a, b) in enumerate(rows):
+            x[i, : len(a)], y[i, : len(b)] = a, b
+        return x, y, lengths
+
 
-def train(minutes: float, path: str = WEIGHTS, seed: int = SEED, resume: bool = False, top_rate: float = 4e-3) -> None:
-    maker, rng = Maker(seed), np.random.default_rng(seed)
+_rows: _Rows | None = None
+
+
+def _begin(seeds) -> None:
+    global _rows
+    _rows = _Rows(seeds.get())
+
+
+def _step(w: dict[str, np.ndarray]) -> tuple[float, dict[str, np.ndarray]]:
+    return loss_and_gradient(w, *_rows.batch())
+
+
+def train(minutes: float, path: str = WEIGHTS, seed: int = SEED, resume: bool = False, top_rate: float = 5e-3, workers: int = 8) -> None:
+    import multiprocessing
+
+    rng = np.random.default_rng(seed)
     w = dict(np.load(path)) if resume else initial(rng)
     m, v = ({k: np.zeros_like(a) for k, a in w.items()} for _ in range(2))
+    context = multiprocessing.get_context("fork")
+    seeds = context.Queue()
+    for i in range(workers):
+        seeds.put(1000 * seed + i)
     began, step, mean = time.time(), 0, None
-    pool: list[tuple[np.ndarray, np.ndarray]] = []
-    while (done := (time.time() - began) / (60 * minutes)) < 1:
-        if not pool:
-            pool = sorted((encoded(*maker.example()) for _ in range(ROWS * 12)), key=lambda p: len(p[0]))
-            pool = [p for p in pool if len(p[0]) > 3]
-            groups = [pool[i : i + ROWS] for i in range(0, len(pool), ROWS)]
-            maker.r.shuffle(groups)
-            pool = [p for g in groups for p in g]
-        batch, pool = pool[:ROWS], pool[ROWS:]
-        lengths = np.array([len(a) for a, _ in batch])
-        x, y = np.zeros((len(batch), lengths.max()), np.int64), np.zeros((len(batch), lengths.max()), np.int64)
-        for i, (a, b) in enumerate(batch):
-            x[i, : len(a)], y[i, : len(b)] = a, b
-        loss, grad = loss_and_gradient(w, x, y, lengths)
-        step += 1
-        norm = np.sqrt(sum(float((g**2).sum()) for g in grad.values()))
-        clip = min(1.0, 5.0 / (norm + 1e-9))
-        rate = top_rate * min(1, step / 50) * (1 - done) ** 0.7 + 1e-5
-        for k in w:
-            g = grad[k] * clip
-            m[k] = 0.9 * m[k] + 0.1 * g
-            v[k] = 0.999 * v[k] + 0.001 * g * g
-            w[k] = (w[k] - rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
-        mean = loss if mean is None else 0.98 * mean + 0.02 * loss
-        if step % 100 == 0:
-            print(f"{step} {time.time() - began:.0f} s loss {mean:.3f}", flush=True)
-            np.savez_compressed(path, **w)
+    with context.Pool(workers, _begin, (seeds,)) as pool:
+        while (done := (time.time() - began) / (60 * minutes)) < 1:
+            results = pool.map(_step, [w] * workers, chunksize=1)
+            loss = float(np.mean([a for a, _ in results]))
+            grad = {k: np.mean([g[k] for _, g in results], axis=0) for k in w}
+            step += 1
+            norm = np.sqrt(sum(float((g**2).sum()) for g in grad.values()))
+            clip = min(1.0, 5.0 / (norm + 1e-9))
+            rate = top_rate * min(1, step / 50) * (1 - done) ** 0.8 + 1e-5
+            for k in w:
+                g = grad[k] * clip
+                m[k] = 0.9 * m[k] + 0.1 * g
+                v[k] = 0.999 * v[k] + 0.001 * g * g
+                w[k] = (w[k] - rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
+            mean = loss if mean is None else 0.97 * mean + 0.03 * loss
+            if step % 200 == 0:
+                print(f"{step} {time.time() - began:.0f} s loss {mean:.3f}", flush=True)
+                np.savez_compressed(path, **w)
     np.savez_compressed(path, **w)
 
 
+def figures(rows: int = 3000, seed: int = 77) -> dict[str, tuple[float, float, int]]:
+    """Precision, recall and number of true spans by kind on the held-out grammar, through the whole operator (with the
+    choice of sentences), a finding being right only if kind, start and end are."""
+    import pyarrow as pa
+
+    from sievework.llm.pii import found_in
+
+    maker = HeldOut(seed)
+    made = [maker.example() for _ in range(rows)]
+    got = {(r, a, b, k) for r, a, b, k, _ in found_in(pa.array([t for t, _ in made]))}
+    true = {(i, a, b, k) for i, (_, spans) in enumerate(made) for a, b, k in spans}
+    out = {}
+    for kind in KINDS:
+        g, t = {x for x in got if x[3] == kind}, {x for x in true if x[3] == kind}
+        out[kind] = (len(g & t) / max(1, len(g)), len(g & t) / max(1, len(t)), len(t))
+    return out
+
+
 if __name__ == "__main__":
     again = sys.argv[2:] == ["resume"]
-    train(float(sys.argv[1]) if len(sys.argv) > 1 else 20, seed=SEED + again, resume=again, top_rate=2e-3 if again else 4e-3)
+    if float(sys.argv[1] if len(sys.argv) > 1 else 10):
+        train(float(sys.argv[1]) if len(sys.argv) > 1 else 10, seed=SEED + again, resume=again, top_rate=4e-3 if again else 5e-3)
+    for kind, (precision, recall, n) in figures().items():
+        print(f"{kind} precision {precision:.3f} recall {recall:.3f} of {n}")

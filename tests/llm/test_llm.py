@@ -138,19 +138,43 @@ def test_verified_is_exact(spark):
 
 
 def test_held_out_accuracy_of_the_tagger():
+    """Through the whole operator, on cues, names, streets and domains that the training grammar doesn't have."""
     if not os.path.exists(pii.WEIGHTS):
         pytest.skip("not trained yet")
-    from sievework.llm.pii_train import Maker
-
-    maker = Maker(987)
-    rows = [maker.example() for _ in range(600)]
-    model, table = pii.tagger(), pii.symbol_table()
-    tags = model.tags([table[np.frombuffer(t.encode("utf-32-le"), np.uint32)] for t, _ in rows])
-    right = wrong = missed = 0
-    for (_, spans), found in zip(rows, tags):
-        got, want = set(pii.spans(found)), set(spans)
-        right, wrong, missed = right + len(got & want), wrong + len(got - want), missed + len(want - got)
-    assert right / (right + wrong) > 0.93 and right / (right + missed) > 0.93
+    from sievework.llm.pii_train import figures
+
+    for kind, (precision, recall, n) in figures(1500).items():
+        least = 0.85 if kind == "NAME" else 0.9
+        assert n > 100 and precision > least and recall > least, (kind, precision, recall)
+
+
+def test_training_grammar_shares_nothing_with_the_tables():
+    """No name, street, domain, town or cue of three words or more stands in a text of the test tables."""
+    import re
+
+    from sievework.llm import pii_train as P
+
+    root = "/root/testdata/sf0.01"
+    if not os.path.exists(root):
+        pytest.skip("no tables")
+    import pyarrow.parquet as pq
+
+    low = "\n".join(x or "" for t, c in (("jobs", "description"), ("user_reports", "reason")) for x in pq.read_table(f"{root}/{t}.parquet", columns=[c]).column(0).to_pylist()).lower()
+    words = set(re.findall(r"[^\W_]+(?:['’-][^\W_]+)*", low))
+    for maker in (P.Maker, P.HeldOut):
+        for field in ("given_names", "surnames", "streets", "towns"):
+            assert not [w for w in getattr(maker, field) if (w.replace("_", " ").lower() in low if "_" in w else w.lower() in words)]
+        assert not [d for d in maker.domains if d in low]
+        assert not [c for cues in maker.before.values() for c in cues if len(c.split()) >= 3 and c in low]
+    assert not [a for a in P.AFTER if len(a.split()) >= 3 and a.lower() in low]
+    assert not [s for s in P.ordinary()[1] if len(s.split()) >= 4 and s.lower() in low]
+
+
+def test_sentences_are_read_by_their_form():
+    text = "Please ask for Zofia Trelawick when you arrive. Your manager will be Robert Garcia, who joined. He lives at 221B Baker Gardens, London. Write to 12 Fennel Passage, Corville. The team meets every day. We like calm people."
+    row, cps, off, joined = next(vec.chunks(pa.array([text])))
+    _, start, end = pii.worth_reading(cps, off, joined)
+    assert [joined[a:b].strip() for a, b in zip(start, end)] == [t + "." for t in text[:-1].split(". ")[:4]]
 
 
 def test_findings_and_placeholders(spark):
