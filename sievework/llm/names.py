@@ -29,7 +29,10 @@ from sievework.llm.skew import blocked, hot_keys, may_pair
 from sievework.session import written
 
 Q = 3
-COMMON = 40
+#: A word is common from so many names, and from this share of all names, upwards.
+COMMON_LEAST, COMMON_SHARE = 20, 0.005
+#: Likeness of a name and its short form without common words at the end.
+SHORT_FORM = 0.92
 #: Legal forms and group words, which don't tell organisations apart (fixed values).
 LEGAL = set(
     "ltd limited llc inc incorporated corp corporation gmbh plc sa ag co company group grp holdings holding hldgs hldg kg bv nv oy ab srl sarl spa llp lp pty pvt the".split()
@@ -64,8 +67,7 @@ def tokens(name: str) -> list[str]:
     found = re.findall(r"[a-z0-9]+", plain(text).replace("'", ""))
     kept = [w for w in found if w not in LEGAL and w not in ("and", "y", "und", "et")] or found
     words = [SHORT.get(w, w) for w in kept]
-    words = [next(iter(FULL[w])) if len(FULL.get(w, ())) == 1 else w for w in words]
-    return [w for i, w in enumerate(words) if not (w == "trading" and i and len(words[i - 1]) > 10 and typed(words[i - 1], "international") <= 1)]
+    return [next(iter(FULL[w])) if len(FULL.get(w, ())) == 1 else w for w in words]
 
 
 def inner(a: str, b: str) -> float:
@@ -85,9 +87,10 @@ def inner(a: str, b: str) -> float:
     return 0.0
 
 
-def likeness(a: list[str], b: list[str]) -> float:
+def likeness(a: list[str], b: list[str], common: frozenset[str] | set[str] = frozenset()) -> float:
     """Symmetric Monge-Elkan similarity; 0 if any token of either side has no counterpart. Names whose letters run
-    together the same way (a blank too many or too few) are compared as one word."""
+    together the same way (a blank too many or too few) are compared as one word. A name of two words or more that is
+    the beginning of the other, but for words of ``common`` at its end, and isn't all of such words itself, is a short form of it."""
     if not a or not b:
         return 0.0
     x, y = "".join(a), "".join(b)
@@ -95,6 +98,9 @@ def likeness(a: list[str], b: list[str]) -> float:
         return 1.0
     if abs(len(x) - len(y)) <= 1 and min(len(x), len(y)) >= 8 and len(a) != len(b) and typed(x, y) <= 1:
         return 1 - 1 / len(x)
+    short, full = (a, b) if len(a) < len(b) else (b, a)
+    if 2 <= len(short) < len(full) and full[: len(short)] == short and common.issuperset(full[len(short) :]) and not common.issuperset(short):
+        return SHORT_FORM
     sides = []
     for these, those in ((a, b), (b, a)):
         best = [max(inner(t, u) for u in those) for t in these]
@@ -129,9 +135,10 @@ def one_deletion(word: str) -> set[str]:
 
 
 def typing_keys(words: list[str], common: set[str]) -> set[str]:
-    """Keys that names of as many words share for certain if (w) a word that isn't common is the same on both sides but for
-    one typing error, or (n) the whole names are, but for one typing error in one of their words."""
-    n, keys = len(words), set()
+    """Keys that names share for certain if (w) a word that isn't common is the same on both sides but for
+    one typing error, or (n) the whole names are, but for one typing error in one of their words, or (j) whatever their blanks, but for one
+    typing error."""
+    n, keys = len(words), {f"j {short}" for short in one_deletion("".join(words))}
     for i, word in enumerate(words):
         rest = " ".join(sorted(words[:i] + words[i + 1 :]))
         for short in one_deletion(word):
@@ -159,16 +166,25 @@ def nodes(names: DataFrame) -> DataFrame:
     return names.mapInArrow(run, "name string, rows long, node long, words array<string>").where(F.size("words") > 0)
 
 
-def links(keys: DataFrame, least_gram_similarity: float = 0.35, recall: float = 0.97, least: float = 0.9, rows: int = 2, hot: int = 20_000) -> DataFrame:
-    """Verified links (a, b, score), in both directions, between the nodes (node, words) of ``keys``."""
-    bands = bands_for(least_gram_similarity, recall, rows)
-    # Words that very many names share (trades, "sons", "partners") say little and would fill buckets: names are banded by
-    # their other words, if they have any. A word is common from COMMON names upwards and from one name in 200, so the
-    # list has at most 200 entries for every word that a name has on average. Where what is left is short, one typing error
-    # leaves too few equal grams: such pairs meet by ``typing_keys``, whatever their grams.
-    least_common = max(COMMON, keys.count() // 200)
+def common_words(keys: DataFrame, least: int, share: float) -> frozenset[str]:
+    """Words that many of the names hold. Each stands in ``share`` of them, so there are at most 1 / ``share`` such words for
+    every word that a name has on average, whatever the number of names."""
+    least = max(least, share * keys.count())
     counts = keys.select(F.explode(F.array_distinct("words")).alias("w")).groupBy("w").count()
-    common = {r["w"] for r in counts.where(F.col("count") > least_common).select("w").collect()}
+    return frozenset(r["w"] for r in counts.where(F.col("count") > least).select("w").collect())
+
+
+def links(
+    keys: DataFrame, least_gram_similarity: float = 0.35, recall: float = 0.97, least: float = 0.9, rows: int = 2, hot: int = 2_000, common_least: int = COMMON_LEAST, common_share: float = COMMON_SHARE
+) -> DataFrame:
+    """Verified links (a, b, score), in both directions, between the nodes (node, words) of ``keys``.
+
+    Words that more than ``common_least`` names and more than ``common_share`` of all names hold (trades, "sons",
+    "partners") say little and would put all names of a trade into one bucket: names are banded by their other words, if
+    they have any. Where what is left is short, one typing error leaves too few equal grams: such pairs meet by
+    ``typing_keys`` for certain. ``hot`` decides only where rows go. README gives the recall measured against all pairs."""
+    bands = bands_for(least_gram_similarity, recall, rows)
+    common = common_words(keys, common_least, common_share)
 
     def banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         salt = vec.mix(np.arange(1, bands + 1, dtype=np.uint64))
@@ -194,6 +210,7 @@ def links(keys: DataFrame, least_gram_similarity: float = 0.35, recall: float =
 
     typed_keys = keys.select("node", "words").mapInArrow(spelled, "node long, g array<long>")
     keyed = keyed.unionByName(typed_keys.select(F.explode("g").alias("g"), "node"))
+    keyed = written(keyed, "name-keys")
     keyed = blocked(keyed, "g", "node", hot_keys(keyed, "g", "node", hot))
     pairs = keyed.alias("x").join(keyed.alias("y"), "g").where((F.col("x.node") < F.col("y.node")) & may_pair(F.col("x.side"), F.col("y.side"))).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
     words = keys.select("node", "words")
@@ -202,7 +219,7 @@ def links(keys: DataFrame, least_gram_similarity: float = 0.35, recall: float =
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b, wa, wb = (batch.column(i).to_pylist() for i in range(4))
-            score = [likeness(x, y) for x, y in zip(wa, wb)]
+            score = [likeness(x, y, common) for x, y in zip(wa, wb)]
             keep = [i for i, s in enumerate(score) if s >= least]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([a[i] for i in keep] + [b[i] for i in keep], pa.int64()), pa.array([b[i] for i in keep] + [a[i] for i in keep], pa.int64()), pa.array([score[i] for i in keep] * 2, pa.float64())],
@@ -245,7 +262,9 @@ def linked_rows(records: DataFrame, companies: DataFrame) -> DataFrame:
     (company_id, name), with the least company_id there, unless the name is exactly that row's."""
     named = records.where(F.trim("name") != "").groupBy("name").agg(F.count("*").alias("rows"))
     named = written(nodes(named), "names")
-    keys = written(named.groupBy("node").agg(F.sum("rows").alias("rows"), F.first("words").alias("words")), "name-nodes")
+    # The number of parts is given, since the Python steps that follow cost more than their bytes tell.
+    parts = records.sparkSession.sparkContext.defaultParallelism
+    keys = written(named.groupBy("node").agg(F.sum("rows").alias("rows"), F.first("words").alias("words")).repartition(parts, "node"), "name-nodes")
     star = written(stars(keys.select("node", "rows"), written(links(keys), "name-links")), "stars")
     spelled = named.select("name", "node").join(star, "node").select("name", "centre")
     listed = companies.where(F.trim("name") != "").select("company_id", "name")

@@ -2,28 +2,29 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sievework.session import written
+
 #: One row in so many is counted to see which keys are hot. Only where rows go depends on it, never a result.
 SAMPLE = 32
+#: Hot keys that are broadcast (12 bytes each); a longer list is joined by a shuffle.
+MAX_BROADCAST_KEYS = 1_000_000
 
 
 def hot_keys(df: DataFrame, key: str, row_id: str, hot: int) -> DataFrame | None:
-    """A table of the keys (longs) that hold more than about ``hot`` rows, with the number of blocks of about so many rows
-    (``blocks``), or None. A key counts as hot from one
-    20,000th of all rows upwards at least, so the list has at most 20,000 entries whatever the input."""
+    """A written table of the keys (longs) that hold more than about ``hot`` rows, with the number of blocks of about so
+    many rows (``blocks``), or None. The bound is the same for every size of the input."""
     sample = df.where(F.pmod(F.xxhash64(F.lit(17), row_id), F.lit(SAMPLE)) == 0)
-    counts = sample.groupBy(key).count()
-    total = sample.count()
-    least = max(hot / SAMPLE, total / 20_000, 8)
-    if total <= least:
-        return None
     size = max(hot / SAMPLE, 8)
-    found = [(r[0], math.ceil(r[1] / size)) for r in counts.where(F.col("count") > least).select(key, "count").collect()]
-    return df.sparkSession.createDataFrame(found, f"{key} long, blocks int") if found else None
+    counts = sample.groupBy(key).count().where(F.col("count") > size)
+    found = written(counts.select(key, F.ceil(F.col("count") / size).cast("int").alias("blocks")), "hot-keys")
+    return found if found.limit(1).count() else None
+
+
+def _list(hot: DataFrame) -> DataFrame:
+    return F.broadcast(hot) if hot.count() <= MAX_BROADCAST_KEYS else hot.hint("shuffle_merge")
 
 
 def spread(df: DataFrame, key: str, hot: DataFrame | None, parts: int, part_value: Column) -> DataFrame:
@@ -32,7 +33,7 @@ def spread(df: DataFrame, key: str, hot: DataFrame | None, parts: int, part_valu
     if hot is None:
         return df
     plain = df.withColumn("only", F.lit(-1).cast("byte"))
-    listed = F.broadcast(hot.select(key))  # at most 20,000 longs, see hot_keys
+    listed = _list(hot.select(key))
     cut = df.join(listed, key, "left_semi").withColumn("only", F.explode(F.array(*[F.lit(i).cast("byte") for i in range(parts)]))).withColumn(key, F.xxhash64(key, "only", part_value))
     return plain.join(listed, key, "left_anti").unionByName(cut)
 
@@ -43,7 +44,7 @@ def blocked(df: DataFrame, key: str, row_id: str, hot: DataFrame | None) -> Data
     so under exactly one key for each pair."""
     if hot is None:
         return df.withColumn("side", F.lit(-1).cast("byte"))
-    listed = F.broadcast(hot)  # at most 20,000 rows, see hot_keys
+    listed = _list(hot)
     own = F.pmod(F.xxhash64(F.lit(29), row_id), F.col("blocks").cast("long")).cast("int")
     cut = df.join(listed, key).withColumn("_own", own).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     side = F.when(F.col("_own") == F.col("_other"), -1).when(F.col("_own") < F.col("_other"), 0).otherwise(1).cast("byte")

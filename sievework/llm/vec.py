@@ -29,17 +29,28 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-@lru_cache(maxsize=1)
+#: Letters and digits are all below this code point; above are tags, variation selectors and private use.
+LETTERS_END = 0x40000
+
+
+@lru_cache(maxsize=8)
+def category_table(categories: tuple[str, ...]) -> np.ndarray:
+    """Per code point: does its general category begin with one of ``categories`` (kinds of letters or digits)?"""
+    out = np.zeros(0x110000, bool)
+    out[:LETTERS_END] = [unicodedata.category(chr(c)).startswith(categories) for c in range(LETTERS_END)]
+    return out
+
+
 def alnum_table() -> np.ndarray:
     """Per code point: is it a letter or a digit (general categories L* and N*)."""
-    return np.array([unicodedata.category(chr(c))[0] in "LN" for c in range(0x110000)], dtype=bool)
+    return category_table(("L", "N"))
 
 
 @lru_cache(maxsize=1)
 def hash_table() -> np.ndarray:
     """Per code point: the 64-bit value of its lower-case form."""
     low = np.arange(0x110000, dtype=np.uint32)
-    for c in range(0x110000):
+    for c in range(LETTERS_END):
         s = chr(c).lower()
         if len(s) == 1:
             low[c] = ord(s)

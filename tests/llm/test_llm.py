@@ -278,6 +278,27 @@ def test_short_mistyped_words_beside_common_ones_are_linked(spark):
     assert n > 40 and {(i, i + n) for i in range(n)} <= got and (2 * n, 2 * n + 1) in got
 
 
+def test_links_do_not_depend_on_hot_buckets_and_meet_all_pairs(spark):
+    import random
+
+    r = random.Random(5)
+    word = lambda: "".join(r.choice(["ba", "ke", "lor", "min", "tav", "os", "ul", "fen", "dra"]) for _ in range(r.randint(2, 4)))
+    base = [[word(), r.choice(["energy", "media", "foods"])] for _ in range(90)]
+    typo = lambda w: w[:2] + w[3] + w[2] + w[4:] if len(w) > 4 else w + "s"
+    made = base + [[typo(a), b] for a, b in base[::2]] + [[b, a] for a, b in base[::3]] + [[a + b] for a, b in base[::5]]
+    keys = spark.createDataFrame([(i, w) for i, w in enumerate(made)], "node long, words array<string>")
+    found = [{(x.a, x.b) for x in names.links(keys, hot=hot).where("a < b").collect()} for hot in (1, 10**9)]
+    common = names.common_words(keys, names.COMMON_LEAST, names.COMMON_SHARE)
+    true = {(i, j) for i, j in itertools.combinations(range(len(made)), 2) if names.likeness(made[i], made[j], common) >= 0.9}
+    assert found[0] == found[1] and found[0] <= true and len(found[0]) >= 0.97 * len(true)
+
+
+def test_short_forms_without_common_words_at_the_end():
+    common = frozenset({"international", "trading"})
+    assert names.likeness(["yordu", "international"], ["yordu", "international", "trading"], common) >= 0.9
+    assert names.likeness(["yordu"], ["yordu", "trading"], common) == 0 and names.likeness(["yordu", "international"], ["yordu", "international", "media"], common) == 0
+
+
 def test_stars_do_not_chain(spark):
     edges = [(1, 2, 0.95), (2, 3, 0.95), (3, 4, 0.95), (4, 5, 0.95)]
     both = spark.createDataFrame([(a, b, s) for a, b, s in edges] + [(b, a, s) for a, b, s in edges], "a long, b long, score double")
