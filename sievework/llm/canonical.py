@@ -3,7 +3,7 @@
 The reference entries stand in a BK-tree under the Levenshtein distance, a true metric, so the triangle inequality prunes
 exactly: a search returns every entry within the threshold (exchanged neighbours count as one edit in the end). Only distinct values are looked
 up. Up to ``shard_size`` entries the tree is broadcast whole; a longer list is cut into shards, every distinct value
-visits every shard, and the shards' winners are merged.
+visits every shard, and the shards' hits are merged by the rules of one tree, so the answers don't depend on the cut.
 
 ``places``: the value is parted into city, region and country by its own punctuation; a stated region must be the
 entry's. ``titles``: seniority, grade, contract and advertising words are taken off, inverted forms turned round, and
@@ -18,12 +18,13 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Callable, Iterator
-from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sievework.session import written
+
 #: Entries of a reference list in one tree.
 SHARD_SIZE = 50_000
 
@@ -149,74 +150,110 @@ _AROUND = re.compile(
 )
 
 
+def _parts(value: str) -> list[str]:
+    """Parts of a place as typed, without what surrounds it."""
+    text = plain(value)
+    for _ in range(3):
+        text = _AROUND.sub(" ", text).strip()
+    parts = [p.strip(" .-–") for p in re.split(r"[,/()|;:]|\s[-–—]\s", text)]
+    return [" ".join(p.split()) for p in (re.sub(r"\b\d[\d-]*\b", "", p).strip() for p in parts) if p.split()]
+
+
+def _city(part: str) -> str:
+    words = [w.rstrip(".") for w in re.split(r"[\s-]+", part) if w]
+    return " ".join([PLACE_WORDS.get(w, w) if i < len(words) - 1 else w for i, w in enumerate(words)])
+
+
+def _nearest(hits: list[tuple]) -> list[tuple]:
+    return [h for h in hits if h[0] == hits[0][0]] if hits else []
+
+
 class Places:
-    """Reference cities with region and country."""
+    """Reference cities with region and country. ``find`` asks its own trees; with a list in shards, each shard gives the
+    ``hits`` of whatever ``find`` might ask, and ``decide`` runs on the hits of all shards, so the answer is the same
+    however the list is cut."""
+
+    COUNTRY = {name: code for code, names in COUNTRIES.items() for name in names}
 
     def __init__(self, rows: list[tuple[int, str, str, str, str]]):
         cities: dict[str, list] = {}
-        self.regions: dict[str, str] = {}
+        regions: dict[str, list] = {}
         for place, city, region, code, country in rows:
-            cities.setdefault(self.words(plain(city or "")), []).append((int(place), plain(code or ""), plain(country or "")))
+            cities.setdefault(_city(plain(city or "")), []).append([int(place), plain(code or ""), plain(country or "")])
             for name in (region, code):
-                if name:
-                    self.regions[plain(name)] = plain(code or region)
-        self.tree = BKTree(cities)
-        self.region_tree = BKTree({r: [r] for r in self.regions if len(r) > 3})
-        self.countries = {name: code for code, names in COUNTRIES.items() for name in names}
-
-    @staticmethod
-    def words(city: str) -> str:
-        parts = [w.rstrip(".") for w in re.split(r"[\s-]+", city) if w]
-        return " ".join([PLACE_WORDS.get(w, w) if i < len(parts) - 1 else w for i, w in enumerate(parts)])
+                if name and (short := plain(code or region)) not in regions.setdefault(plain(name), []):
+                    regions[plain(name)].append(short)
+        self.trees = {"city": BKTree(cities), "region": BKTree({r: c for r, c in regions.items() if len(r) > 3})}
+        self.exact = {"city": cities, "region": regions}
 
-    def _region(self, part: str) -> str | None:
-        if part in self.regions:
-            return self.regions[part]
-        near = self.region_tree.within(part, 1 if len(part) < 8 else 2) if len(part) > 4 and part[0].isalpha() else []
-        return self.regions[near[0][1]] if near and not self.tree.within(self.words(part), 0) else None
+    def near(self, kind: str, word: str, most: int) -> list[tuple]:
+        """(distance, entry, payload) within ``most``, nearest first; an entry equal to ``word`` alone if there is one."""
+        if word in self.exact[kind]:
+            return [(0, word, self.exact[kind][word])]
+        return [(d, e, self.exact[kind][e]) for d, e in self.trees[kind].within(word, most)] if most else []
 
     def find(self, value: str) -> tuple[int, int]:
+        return self.decide(value, self.near)
+
+    def hits(self, value: str) -> list[tuple]:
+        """(kind, word, distance, entry, payload) of all that ``decide`` might ask about ``value``."""
+        parts = _parts(value)
+        heads = [h for p in parts for h in p.rpartition(" ")[::2] if h]
+        asked = {("region", p, 2) for p in (*parts, *heads)} | {("city", w, max(1, allowed(w))) for w in map(_city, (*parts, *heads))}
+        return [(kind, word, *hit) for kind, word, most in sorted(asked) for hit in self.near(kind, word, most)]
+
+    @classmethod
+    def merged(cls, value: str, hits: list[list]) -> tuple[int, int]:
+        """The answer from the hits of all shards."""
+        found: dict[tuple, dict] = {}
+        for kind, word, d, entry, payload in hits:
+            one = found.setdefault((kind, word), {}).setdefault(entry, (d, entry, []))
+            one[2].extend(p for p in payload if p not in one[2])
+
+        def near(kind: str, word: str, most: int) -> list[tuple]:
+            every = sorted((h for h in found.get((kind, word), {}).values() if h[0] <= most), key=lambda h: h[:2])
+            return every[:1] if every and every[0][0] == 0 else every
+
+        return cls.decide(value, near)
+
+    @classmethod
+    def decide(cls, value: str, near: Callable[[str, str, int], list[tuple]]) -> tuple[int, int]:
         """(distance, place id), or (-, -1)."""
-        text = plain(value)
-        for _ in range(3):
-            text = _AROUND.sub(" ", text).strip()
-        parts = [p.strip(" .-–") for p in re.split(r"[,/()|;:]|\s[-–—]\s", text)]
-        parts = [re.sub(r"\b\d[\d-]*\b", "", p).strip() for p in parts]
+        named = lambda p: min(hit[0][2]) if (hit := near("region", p, 0)) else None
+
+        def mistyped(part: str) -> str | None:
+            close = near("region", part, 1 if len(part) < 8 else 2) if len(part) > 4 and part[0].isalpha() else []
+            return min(close[0][2]) if close and not near("city", _city(part), 0) else None
+
         region = country = None
         cities: list[str] = []
-        for p in filter(None, parts):
-            p = " ".join(p.split())
-            if p in self.countries and p not in self.regions:
-                country = self.countries[p]
-            elif p in self.regions:
-                region = self.regions[p]
+        for p in _parts(value):
+            if p in cls.COUNTRY and named(p) is None:
+                country = cls.COUNTRY[p]
+            elif (code := named(p)) is not None:
+                region = code
             else:
                 cities.append(p)
         if len(cities) > 1 and region is None:  # a region with a typing error beside the city
             for p in cities[1:] + cities[:1]:
-                if not self.tree.within(self.words(p), 1) and (r := self._region(p)):
+                if not near("city", _city(p), 1) and (r := mistyped(p)):
                     region = r
                     cities.remove(p)
                     break
-        best = (99, -1)
         for p in cities:
             tries = [(p, region, country)]
             head, _, tail = p.rpartition(" ")
-            if head and region is None and tail in self.regions:  # "City RC" without a comma
-                tries.insert(0, (head, self.regions[tail], country))
-            elif head and country is None and tail in self.countries:
-                tries.insert(0, (head, region, self.countries[tail]))
+            if head and region is None and named(tail) is not None:  # "City RC" without a comma
+                tries.insert(0, (head, named(tail), country))
+            elif head and country is None and tail in cls.COUNTRY:
+                tries.insert(0, (head, region, cls.COUNTRY[tail]))
             for name, where, land in tries:
-                word = self.words(name)
-                hits = self.tree.nearest(word, allowed(word))
-                found = [(d, len(self.tree.payload[c]), pid) for d, c in hits for pid, code, nation in self.tree.payload[c] if (where is None or code == where) and (land is None or nation == land)]
+                word = _city(name)
+                found = [(d, len(places), pid) for d, _, places in _nearest(near("city", word, allowed(word))) for pid, code, nation in places if (where is None or code == where) and (land is None or nation == land)]
                 if found:
                     d, _, pid = min(found)
-                    best = min(best, (d, pid))
-                    break
-            if best[1] >= 0:
-                break
-        return best
+                    return d, pid
+        return 99, -1
 
 
 # ---- titles -----------------------------------------------------------------------------------------------------
@@ -289,8 +326,16 @@ class Titles:
                 best = min(best if best is not None else 99, 1 + rest)
         return best
 
-    def find(self, value: str) -> tuple[int, int]:
-        """(distance, title id), or (-, -1)."""
+    def hits(self, value: str) -> list[tuple]:
+        return [self.find(value)]
+
+    @staticmethod
+    def merged(value: str, hits: list[list]) -> tuple[int, int]:
+        """The answer from the answers of all shards: the nearest entry, then the lowest id."""
+        return min((d, i) for d, i in hits if i >= 0) if any(i >= 0 for _, i in hits) else (99, -1)
+
+    def find(self, value: str) -> tuple[float, int]:
+        """(distance, title id), or (-, -1). Forms that come first beat equally near ones that come later."""
         text = value
         for _ in range(3):
             text = _ADVERT.sub(" ", text).strip()
@@ -308,9 +353,9 @@ class Titles:
             for words in (full, cut, inner):
                 if words and words not in forms:
                     forms.append(words)
-        for words in forms:
+        for i, words in enumerate(forms):
             if hit := self.tree.payload.get(" ".join(words)):
-                return 0, min(hit)
+                return i / 100, min(hit)
         return min((self._near(" ".join(words)) for words in forms), default=(99, -1))
 
     def _near(self, name: str) -> tuple[int, int]:
@@ -330,30 +375,49 @@ class Titles:
         return best
 
 
-def mapped(df: DataFrame, key: str, column: str, entries: DataFrame, build: Callable[[list[tuple]], object], shard_size: int = SHARD_SIZE) -> DataFrame:
-    """(``key``, ref_id) of every row of ``df`` with a non-blank ``column``. ``entries`` has the id first; ``build``
-    makes a matcher with ``find(value) -> (distance, id)`` from its rows."""
+def mapped(df: DataFrame, key: str, column: str, entries: DataFrame, build: Callable[[list[tuple]], object], shard_size: int = SHARD_SIZE, block: int = 100_000) -> DataFrame:
+    """(``key``, ref_id) of every row of ``df`` with a non-blank ``column``. ``entries`` has the id first; ``build`` makes a
+    matcher from its rows, with ``find(value) -> (distance, id)``, ``hits(value)`` and ``merged(value, hits of all shards)``.
+
+    A list of at most ``shard_size`` entries is broadcast. A longer one never leaves the executors: it is cut into shards,
+    the distinct values into blocks of about ``block``, and every block meets every shard in a task of its own; the shards'
+    hits of a value are merged."""
     spark = df.sparkSession
     rows = df.select(F.col(key).alias("k"), F.col(column).alias("v")).where(F.trim("v") != "")
-    values = rows.select("v").distinct()
-    # The list is cut by its own order of ids; each shard has at most shard_size entries.
-    shards = max(1, -(-entries.count() // shard_size))
-    parts: list = [[] for _ in range(shards)]
-    for i, r in enumerate(entries.orderBy(entries.columns[0]).toLocalIterator()):
-        parts[i % shards].append(tuple(r))
-    winners = None
-    for part in parts:
-        shared = spark.sparkContext.broadcast(part)
-
-        def look(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            matcher = build(shared.value)
-            find = lru_cache(maxsize=100_000)(matcher.find)
+    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    values = rows.select("v").distinct().repartition(parts, "v")  # by number, as the search costs more than the bytes tell
+    size = entries.count()
+    if size <= shard_size:
+        shared = spark.sparkContext.broadcast([tuple(r) for r in entries.orderBy(entries.columns[0]).collect()])
+
+        def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            find = build(shared.value).find
+            for batch in batches:
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([find(v)[1] for v in batch.column(0).to_pylist()], pa.int64())], ["v", "ref_id"])
+
+        winners = values.mapInArrow(look, "v string, ref_id long")
+    else:
+        import json
+
+        shards = -(-size // shard_size)
+        values = written(values, "values")
+        blocks = -(-values.count() // block)
+        cut = entries.withColumn("_shard", F.pmod(F.xxhash64(entries.columns[0]), F.lit(shards))).withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(max(0, blocks - 1)))))
+        met = values.withColumn("_block", F.pmod(F.xxhash64("v"), F.lit(max(1, blocks))).cast("int")).withColumn("_shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))))
+        names = entries.columns
+
+        def search(left, right):
+            import pandas as pd
+
+            matcher = build([tuple(None if x is None or x != x else x for x in r) for r in right.sort_values(names[0])[names].itertuples(index=False)])
+            return pd.DataFrame({"v": left["v"], "h": [json.dumps(matcher.hits(v)) for v in left["v"]]})
+
+        found = met.groupBy("_shard", "_block").cogroup(cut.groupBy("_shard", "_block")).applyInPandas(search, "v string, h string")
+
+        def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                found = [find(v) for v in batch.column(0).to_pylist()]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([d for d, _ in found], pa.int32()), pa.array([i for _, i in found], pa.int64())], ["v", "d", "ref_id"])
+                ids = [build.merged(v, [x for h in hs for x in json.loads(h)])[1] for v, hs in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.int64())], ["v", "ref_id"])
 
-        one = values.mapInArrow(look, "v string, d int, ref_id long")
-        winners = one if winners is None else winners.unionByName(one)
-    if shards > 1:
-        winners = winners.groupBy("v").agg(F.min(F.struct("d", "ref_id")).alias("w")).select("v", "w.d", "w.ref_id")
+        winners = found.groupBy("v").agg(F.collect_list("h").alias("h")).mapInArrow(merge, "v string, ref_id long")  # one text per shard
     return rows.join(winners, "v").select(F.col("k").alias(key), "ref_id")

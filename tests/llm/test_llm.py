@@ -248,6 +248,15 @@ def test_mapping_with_shards(spark, shard):
     assert got == {(1, 2), (2, 1), (5, 1), (6, -1)}
 
 
+def test_places_do_not_depend_on_shards(spark):
+    schema = "place_id long, city string, region string, region_code string, country string"
+    more = PLACES + [(10 + i, f"{a}{b}", f"Region{i % 7}", f"R{i % 7}", "GB") for i, (a, b) in enumerate(itertools.product(("Nor", "Ulver", "Quaro", "Brack"), ("lake", "holm", "bury", "dale", "mouth")))]
+    typed = [f"{c}, {r}" for _, c, r, _, _ in more] + [f"{c[:-2]}{c[-1]}{c[-2]} {k}" for _, c, _, k, _ in more] + ["Norlake", "Ulverholm, Norlake", "Region3", "Rgeion3, Norlake", None, " ", "nowhere at all"]
+    df, entries = spark.createDataFrame(list(enumerate(typed)), "id long, location string"), spark.createDataFrame(more, schema)
+    results = [sorted(tuple(r) for r in canonical.mapped(df, "id", "location", entries, canonical.Places, shard, block).collect()) for shard, block in ((50_000, 100), (7, 10), (1, 1000))]
+    assert results[0] == results[1] == results[2] and len(results[0]) == len(typed) - 2 and results[0][0] == (0, 1)
+
+
 # ---- names (p5) -------------------------------------------------------------------------------------------------
 
 
