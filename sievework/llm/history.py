@@ -2,13 +2,13 @@
 
 Every posting leaves hashes only: of its page address, of its source and external number, of its whole normalised
 description, and one per paragraph (a line or sentence, or a part of a very long one) of it with a small sketch. A row repeats an earlier one if an
-exact hash of it is already there (bucket-local joins on per-batch minima), or if descriptions that share a paragraph
-hash really reach the similarity. ``repeats`` answers for all batches of a table at once; ``History`` keeps the hashes
-in bucketed tables, checks one new batch against them without touching old texts, and appends.
+exact hash of it is already there, or if descriptions that share a paragraph hash really reach the similarity.
+``History`` keeps the hashes in a bucketed table, joins one new batch to it bucket by bucket, and appends;
+``repeats_by_batch`` sends all batches of a table through it. ``repeats`` gives the same answer for all batches in one
+pass and serves to test it.
 
 Skew: exact hashes are reduced to one row per key and batch before they meet; equal descriptions are one content; hot
-paragraphs are cut into blocks of which each two meet, and inside a large paragraph bucket contents are compared in rising order
-until each has met a practically certain earlier copy.
+paragraphs are cut into blocks that all of a batch meets, and whoever has met a practically certain earlier copy takes no later one.
 """
 
 from __future__ import annotations
@@ -206,47 +206,155 @@ def repeats(df: DataFrame, key: str = "id", batch: str = "batch_no", similarity:
     return exact.unionByName(near).groupBy("id_b").agg(F.min("id_a").alias("id_a")).select("id_a", "id_b")
 
 
+def sketch_words(sketch: Column) -> list[Column]:
+    """The sketch's 32 bytes as four longs."""
+    return [F.conv(F.hex(F.substring(sketch, 8 * i + 1, F.lit(8))), 16, -10).cast("long").alias(f"s{i}") for i in range(4)]
+
+
+def agreeing(old: str, new: str) -> Column:
+    """How many bytes of two sketches (columns ``old``.s0 ... and ``new``.s0 ...) are equal: in generated code, a few bit
+    operations a long. Of a byte of the difference, the lowest bit ends as the union of its bits."""
+    total = F.lit(SKETCH)
+    for i in range(4):
+        x = F.col(f"{old}.s{i}").bitwiseXOR(F.col(f"{new}.s{i}"))
+        for shift in (4, 2, 1):
+            x = x.bitwiseOR(F.shiftrightunsigned(x, shift))
+        total = total - F.bit_count(x.bitwiseAND(F.lit(0x0101010101010101)))
+    return total
+
+
+def prepared(rows: DataFrame, k: int, min_words: int) -> DataFrame:
+    """From (id, batch, source, url, external_id, text): (batch, id, key, digest, paragraphs, s0 ... s3): one row per exact key
+    of a row (``key`` set), and one per description of at least ``min_words`` words (``digest`` set)."""
+    exact = exact_keys(rows).select("batch", "id", "key", F.lit(None).cast("long").alias("digest"), F.lit(None).cast("array<long>").alias("paragraphs"), *[F.lit(None).cast("long").alias(f"s{i}") for i in range(4)])
+    texts = described(rows.where(F.length("text") >= 2 * min_words - 1), k, min_words)
+    return exact.unionByName(texts.select("batch", "id", F.xxhash64(F.lit("text"), "digest").alias("key"), "digest", "paragraphs", *sketch_words(F.col("sketch"))))
+
+
+def probes(prep: DataFrame) -> DataFrame:
+    """(batch, key, id, near, s0 ... s3) of prepared batches: an exact hash with the least id that has it, or (``near``) a
+    paragraph of a description, whose id is the least of the batch with the same description."""
+    exact = prep.groupBy("batch", "key").agg(F.min("id").alias("id")).select("batch", "key", "id", F.lit(False).alias("near"), *[F.lit(None).cast("long").alias(f"s{i}") for i in range(4)])
+    firsts = prep.where("digest is not null").groupBy("batch", "digest").agg(F.min(F.struct("id", "paragraphs", "s0", "s1", "s2", "s3")).alias("c"))
+    paragraphs = firsts.select("batch", F.explode("c.paragraphs").alias("key"), F.col("c.id").alias("id"), F.lit(True).alias("near"), *[f"c.s{i}" for i in range(4)])
+    return exact.unionByName(paragraphs)
+
+
 class History:
-    """Accepted postings as bucketed hash tables under ``path`` (a folder all executors share): ``keys`` (exact hashes),
-    ``paragraphs`` and ``sets`` (shingles of each description), all partitioned by ``bucket``. A batch reads the hash
-    tables of history, never its texts; sets are read for candidates only."""
+    """Accepted postings as one bucketed table of hashes under ``path`` (a folder all executors share): of every load one row
+    per exact hash with the least id that has it, and one per paragraph of every description with its sketch, bucketed by
+    hash. A batch is joined to it bucket by bucket: only the batch moves, the history is read where it lies and neither
+    shuffled nor sorted. Texts are read for candidates only.
+
+    A load counts once its number stands in ``commits``, written last; rows of a load that broke off are never read, so a
+    batch may simply be sent again. One writer at a time is assumed. Whoever opens ``path`` later must give the same
+    number of buckets; ``buckets`` should keep a bucket of history within an executor's memory."""
+
+    COLUMNS = ("key", "id", "near", "s0", "s1", "s2", "s3", "load")
+    SCHEMA = "key long, id long, near boolean, s0 long, s1 long, s2 long, s3 long, load long"
+
+    def __init__(self, spark: SparkSession, path: str, buckets: int = 64, similarity: float = 0.6, k: int = 3, min_words: int = 30, hot: int = 50_000):
+        import uuid
 
-    def __init__(self, spark: SparkSession, path: str, buckets: int = 64, similarity: float = 0.6, k: int = 3, min_words: int = 30):
         self.spark, self.path, self.buckets = spark, path.rstrip("/"), buckets
-        self.similarity, self.k, self.min_words = similarity, k, min_words
-
-    def _old(self, name: str, schema: str) -> DataFrame:
-        try:
-            return self.spark.read.schema(schema + ", bucket int").parquet(f"{self.path}/{name}")
-        except Exception:  # nothing accepted yet
-            return self.spark.createDataFrame([], schema + ", bucket int")
-
-    def _bucket(self, column: str) -> Column:
-        return F.pmod(F.col(column), F.lit(self.buckets)).cast("int")
-
-    def check_and_append(self, batch: DataFrame) -> DataFrame:
-        """(id_a, id_b) for the rows of ``batch`` (id, source, url, external_id, description) that repeat an accepted
-        one, id_a being the least such id; then the hashes of the whole batch are appended. The result is written before
-        it is returned, so it doesn't depend on the tables afterwards."""
-        rows = batch.select("id", F.lit(1).alias("batch"), "source", "url", "external_id", F.col("description").alias("text"))
-        sig = written(described(rows, self.k, self.min_words), "batch")
-        keys = exact_keys(rows).select("id", "key").unionByName(sig.select("id", F.xxhash64(F.lit("text"), "digest").alias("key"))).withColumn("bucket", self._bucket("key"))
-        segs = sig.select("id", F.explode("paragraphs").alias("key"), "sketch").withColumn("bucket", self._bucket("key"))
-        sets = with_shingles(rows.join(sig.select("id"), "id", "left_semi"), "id", "text", self.k).withColumn("bucket", self._bucket("id"))
-        old_keys, old_segs, old_sets = self._old("keys", "id long, key long"), self._old("paragraphs", "id long, key long, sketch binary"), self._old("sets", "id long, s array<int>")
-        first = old_keys.groupBy("bucket", "key").agg(F.min("id").alias("id_a"))
-        exact = keys.join(first, ["bucket", "key"]).select("id_a", F.col("id").alias("id_b"))
-        agree = F.aggregate(F.sequence(F.lit(1), F.lit(SKETCH)), F.lit(0), lambda n, i: n + (F.substring("sketch", i, F.lit(1)) == F.substring("old_sketch", i, F.lit(1))).cast("int"))
-        shared = segs.join(old_segs.select("bucket", "key", F.col("id").alias("a"), F.col("sketch").alias("old_sketch")), ["bucket", "key"])
-        pairs = shared.where(agree >= floor(self.similarity, SKETCH)).select("a", F.col("id").alias("b")).distinct()
-        common = F.size(F.array_intersect("s", "t"))
-        near = (
-            pairs.join(sets.select(F.col("id").alias("b"), "s"), "b")
-            .join(old_sets.select(F.col("id").alias("a"), F.col("s").alias("t")), "a")
-            .where(common / (F.size("s") + F.size("t") - common) >= self.similarity)
-            .select(F.col("a").alias("id_a"), F.col("b").alias("id_b"))
-        )
-        found = written(exact.unionByName(near).groupBy("id_b").agg(F.min("id_a").alias("id_a")).select("id_a", "id_b"), "repeats")
-        for name, new in (("keys", keys), ("paragraphs", segs), ("sets", sets)):
-            new.repartition(min(self.buckets, 32), "bucket").write.mode("append").partitionBy("bucket").parquet(f"{self.path}/{name}")
+        self.similarity, self.k, self.min_words, self.hot = similarity, k, min_words, hot
+        self.table = f"sievework_history_{uuid.uuid4().hex}"  # the name is this session's; the files are found by the path
+        spark.sql(f"CREATE TABLE {self.table} ({self.SCHEMA}) USING parquet CLUSTERED BY (key) INTO {buckets} BUCKETS LOCATION '{self.path}/hashes'")
+        self.loads: list[int] = []
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/commits")
+        if folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder):
+            rows = spark.read.schema("load long, rows long").parquet(f"{self.path}/commits").collect()  # one row per load
+            self.loads, self.rows = sorted(r["load"] for r in rows), sum(r["rows"] for r in rows)
+        else:
+            self.rows = 0
+        self.listed, self.counted = None, 0
+
+    def accepted(self) -> DataFrame:
+        return self.spark.table(self.table).where(F.col("load").isin(self.loads)) if self.loads else self.spark.createDataFrame([], self.SCHEMA)
+
+    def _hot(self) -> DataFrame | None:
+        """Hot paragraph hashes, counted anew whenever ``hot`` rows have come since: none exceeds twice the bound."""
+        if self.rows - self.counted >= self.hot:
+            self.listed, self.counted = hot_keys(self.accepted().where("near").select("key", "id"), "key", "id", self.hot), self.rows
+        return self.listed
+
+    def hits(self, probe: DataFrame) -> DataFrame:
+        """(near, a, b): what a batch's ``probe`` (a written table) finds. Exact hashes: the least accepted id ``a`` of hash
+        ``b``. Paragraphs: an accepted description ``a`` and one of the batch ``b`` that share a paragraph and whose sketches
+        admit the similarity."""
+        least = floor(self.similarity, SKETCH)
+        old, new = self.accepted().alias("o"), probe.alias("n")
+        match = (F.col("o.key") == F.col("n.key")) & (F.col("o.near") == F.col("n.near"))
+        admit = ~F.col("o.near") | ((F.col("o.id") != F.col("n.id")) & (agreeing("o", "n") >= least))
+        b = F.when(F.col("o.near"), F.col("n.id")).otherwise(F.col("n.key"))
+        hot = self._hot()
+        if hot is None:
+            found = old.join(new.hint("shuffle_hash"), match & admit).select(F.col("o.near").alias("near"), F.col("o.id").alias("a"), b.alias("b"))
+        else:
+            # Hot paragraphs: their accepted rows fall into blocks, the batch's rows go to every block, so no pair is lost.
+            # Whoever has met a practically certain copy needs no later one, so the first such is found beforehand.
+            listed = F.broadcast(hot) if hot.count() <= 1_000_000 else hot
+            plain = self.accepted().join(listed, "key", "left_anti").alias("o").join(probe.hint("shuffle_hash").alias("n"), match & admit)
+            cut = self.accepted().where("near").join(listed, "key").withColumn("block", F.pmod(F.xxhash64(F.lit(31), "id"), F.col("blocks").cast("long")).cast("int")).alias("o")
+            sent = probe.where("near").join(listed, "key").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).alias("n")
+            met = cut.join(sent, match & (F.col("o.block") == F.col("n.block")) & admit)
+            sure = written(met.where(agreeing("o", "n") >= CERTAIN).groupBy(F.col("n.id").alias("c")).agg(F.min("o.id").alias("sure")), "certain-copies")
+            left = met.join(sure, F.col("n.id") == F.col("c"), "left").where(F.col("sure").isNull() | (F.col("o.id") <= F.col("sure")))
+            found = plain.select(F.col("o.near").alias("near"), F.col("o.id").alias("a"), b.alias("b")).unionByName(left.select(F.lit(True).alias("near"), F.col("o.id").alias("a"), F.col("n.id").alias("b")))
+        return found.groupBy("near", "b", F.when(F.col("near"), F.col("a")).alias("_pair")).agg(F.min("a").alias("a")).select("near", "a", "b")
+
+    def append(self, probe: DataFrame, load: int, rows: int) -> None:
+        """Accept a batch's hashes (``rows`` of them) as load number ``load``. A load that is accepted already is left as it is."""
+        if load in self.loads:
+            return
+        probe.withColumn("load", F.lit(load).cast("long")).select(*self.COLUMNS).repartition(self.buckets, "key").write.insertInto(self.table)
+        self.spark.range(1).select(F.lit(load).cast("long").alias("load"), F.lit(rows).cast("long").alias("rows")).coalesce(1).write.mode("append").parquet(f"{self.path}/commits")
+        self.loads, self.rows = sorted({*self.loads, load}), self.rows + rows
+
+    def check(self, probe: DataFrame, load: int, rows: int) -> DataFrame:
+        """Hits of a batch's ``probe`` (a written table of ``rows`` rows) with what is accepted so far; then the batch is
+        accepted. The hits are written, so they don't depend on the table afterwards."""
+        found = written(self.hits(probe), "hits") if self.loads else self.spark.createDataFrame([], "near boolean, a long, b long")
+        self.append(probe, load, rows)
         return found
+
+    def check_and_append(self, batch: DataFrame, load: int, texts: DataFrame) -> DataFrame:
+        """(id_a, id_b) for the rows of ``batch`` (id, source, url, external_id, description) that repeat an accepted one,
+        id_a being the least such id. ``texts`` (id, description) are the accepted postings, of which only candidates are read."""
+        rows = batch.select("id", F.lit(load).alias("batch"), "source", "url", "external_id", F.col("description").alias("text"))
+        prep = written(prepared(rows, self.k, self.min_words), "batch")
+        sent = written(probes(prep), "probe").drop("batch")
+        found = self.check(sent, load, sent.count()).withColumn("batch", F.lit(load))
+        everything = texts.select("id", F.col("description").alias("text")).unionByName(rows.select("id", "text"))
+        return resolved(prep, found, everything, self.similarity, self.k)
+
+
+def resolved(prep: DataFrame, found: DataFrame, texts: DataFrame, similarity: float, k: int) -> DataFrame:
+    """(id_a, id_b) from the hits (batch, near, a, b) of batches whose rows are ``prep``: candidates are held against their
+    whole ``texts`` (id, text)."""
+    exact = prep.select("batch", "id", "key").join(found.where("not near").select("batch", F.col("b").alias("key"), "a"), ["batch", "key"]).select(F.col("a").alias("id_a"), F.col("id").alias("id_b"))
+    pairs = written(found.where("near").select("a", "b").distinct(), "paragraph-pairs")
+    true = verified(pairs, texts, "id", "text", similarity, k).select("a", "b")
+    described_rows = prep.where("digest is not null")
+    members = described_rows.groupBy("batch", "digest").agg(F.min("id").alias("b")).join(described_rows.select("batch", "digest", "id"), ["batch", "digest"]).select("b", "id")
+    near = true.join(members, "b").select(F.col("a").alias("id_a"), F.col("id").alias("id_b"))
+    return exact.unionByName(near).groupBy("id_b").agg(F.min("id_a").alias("id_a")).select("id_a", "id_b")
+
+
+def repeats_by_batch(
+    df: DataFrame, path: str, key: str = "id", batch: str = "batch_no", similarity: float = 0.6, k: int = 3, min_words: int = 30, buckets: int = 64, hot: int = 50_000
+) -> DataFrame:
+    """(id_a, id_b) as ``repeats``, by sending the batches of ``df`` one after another through a ``History`` below ``path``."""
+    rows = df.select(F.col(key).cast("long").alias("id"), F.col(batch).cast("int").alias("batch"), "source", "url", "external_id", F.col("description").alias("text")).where(
+        F.col("id").isNotNull() & F.col("batch").isNotNull()
+    )
+    prep = written(prepared(rows, k, min_words), "batches", "batch")
+    sent = written(probes(prep), "probes", "batch")
+    history = History(df.sparkSession, path, buckets, similarity, k, min_words, hot)
+    found = None
+    for number, count in sorted((r["batch"], r["count"]) for r in sent.groupBy("batch").count().collect()):
+        hits = history.check(sent.where(F.col("batch") == number).drop("batch"), number, count).withColumn("batch", F.lit(number))
+        found = hits if found is None else found.unionByName(hits)
+    if found is None:
+        return df.sparkSession.createDataFrame([], "id_a long, id_b long")
+    return resolved(prep, found, rows.select("id", "text"), similarity, k)

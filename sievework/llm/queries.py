@@ -7,15 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievework.session import ship, table
+from sievework.session import shared_dir, ship, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def p1_found(spark: SparkSession, root: str) -> DataFrame:
-    from sievework.llm.history import repeats
+    """All batches of jobs, one after another, through a history of hashes in the shared folder. A bucket takes about
+    250,000 rows of jobs (some 15 hashes a row)."""
+    import uuid
 
-    return repeats(table(ship(spark), root, "jobs", "id", "batch_no", "source", "url", "external_id", "description"))
+    from sievework.llm.history import repeats_by_batch
+
+    jobs = table(ship(spark), root, "jobs", "id", "batch_no", "source", "url", "external_id", "description")
+    buckets = max(8, -(-table(spark, root, "jobs").count() // 250_000))
+    return repeats_by_batch(jobs, f"{shared_dir(spark)}/sievework/history-{uuid.uuid4().hex}", buckets=buckets)
 
 
 def _findings(spark: SparkSession, root: str) -> DataFrame:

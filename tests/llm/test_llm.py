@@ -95,11 +95,51 @@ def test_repeats_and_history_agree(spark, tmp_path):
     assert {tuple(r) for r in history.repeats(df).collect()} == want
     assert {tuple(r) for r in history.repeats(df, hot=1).collect()} == want
     assert history.repeats(df.limit(0)).count() == 0
-    book = history.History(spark, str(tmp_path / "book"), buckets=4)
+    for hot in (1, 50_000):
+        assert {tuple(r) for r in history.repeats_by_batch(df, str(tmp_path / f"all{hot}"), buckets=4, hot=hot).collect()} == want
+    assert history.repeats_by_batch(df.limit(0), str(tmp_path / "none"), buckets=4).count() == 0
     got = set()
-    for b in (0, 1, 2):
-        got |= {tuple(r) for r in book.check_and_append(df.where(F.col("batch_no") == b)).collect()}
+    for b in (0, 1, 2):  # opened anew for every batch, as separate runs would
+        book = history.History(spark, str(tmp_path / "book"), buckets=4)
+        got |= {tuple(r) for r in book.check_and_append(df.where(F.col("batch_no") == b), b, df.where(F.col("batch_no") < b)).collect()}
     assert got == want
+    # A load that breaks off before its commit leaves rows that are never read; the batch can be sent again.
+    book.spark.createDataFrame([(1, 99, False, 0, 0, 0, 0, 7)], history.History.SCHEMA).repartition(4, "key").write.insertInto(book.table)
+    assert book.accepted().where("load = 7").count() == 0
+    before = book.accepted().count()
+    book.append(spark.createDataFrame([(1, 99, False, 0, 0, 0, 0, 7)], history.History.SCHEMA), 2, 1)
+    assert book.accepted().count() == before and history.History(spark, str(tmp_path / "book"), buckets=4).loads == [0, 1, 2]
+
+
+def test_history_is_read_where_it_lies(spark, tmp_path):
+    """The plan of a batch's look-up has no exchange and no sort above the history's scan."""
+    df = postings(spark)
+    book = history.History(spark, str(tmp_path / "book"), buckets=4)
+    book.check_and_append(df.where("batch_no = 0"), 0, df.limit(0))
+    prep = history.prepared(df.where("batch_no = 1").select("id", F.col("batch_no").cast("int").alias("batch"), "source", "url", "external_id", F.col("description").alias("text")), 3, 30)
+    execution = book.hits(history.probes(prep).drop("batch"))._jdf.queryExecution()
+    formatted = execution.explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    executed = execution.executedPlan().toString()
+    lines = executed.split("== Initial Plan ==")[-1].splitlines()
+    at = next(i for i, x in enumerate(lines) if "FileScan parquet" in x and book.table in x)
+    depth = lambda x: len(x) - len(x.lstrip(" :+-*()0123456789"))
+    above = []
+    for x in reversed(lines[:at]):
+        if depth(x) < depth(lines[at]) and (not above or depth(x) < depth(above[-1])):
+            above.append(x)
+    below_join = list(itertools.takewhile(lambda x: "HashJoin" not in x, above))
+    assert "Bucketed: true" in formatted and any("HashJoin" in x for x in above) and not any("Exchange" in x or "Sort" in x for x in below_join), formatted
+
+
+def test_agreement_of_sketches_in_generated_code(spark):
+    rng = np.random.default_rng(4)
+    a, b = rng.integers(0, 256, (50, history.SKETCH)).astype(np.uint8), rng.integers(0, 256, (50, history.SKETCH)).astype(np.uint8)
+    same = rng.random((50, history.SKETCH)) < 0.6
+    b[same] = a[same]
+    df = spark.createDataFrame([(i, bytes(x), bytes(y)) for i, (x, y) in enumerate(zip(a, b))], "i int, x binary, y binary")
+    one, two = df.select("i", *history.sketch_words(F.col("x"))).alias("o"), df.select("i", *history.sketch_words(F.col("y"))).alias("n")
+    got = {r.i: r.e for r in one.join(two, F.col("o.i") == F.col("n.i")).select(F.col("o.i").alias("i"), history.agreeing("o", "n").alias("e")).collect()}
+    assert got == {i: int((x == y).sum()) for i, (x, y) in enumerate(zip(a, b))}
 
 
 def test_crowded_paragraphs_end_early(spark):
