@@ -284,8 +284,8 @@ class History:
         admit the similarity."""
         least = floor(self.similarity, SKETCH)
         old, new = self.accepted().alias("o"), probe.alias("n")
-        match = (F.col("o.key") == F.col("n.key")) & (F.col("o.near") == F.col("n.near"))
-        admit = ~F.col("o.near") | ((F.col("o.id") != F.col("n.id")) & (agreeing("o", "n") >= least))
+        match = F.col("o.key") == F.col("n.key")  # nothing but the bucketing column, or the history would be shuffled
+        admit = (~F.col("o.near") & ~F.col("n.near")) | (F.col("o.near") & F.col("n.near") & (F.col("o.id") != F.col("n.id")) & (agreeing("o", "n") >= least))
         b = F.when(F.col("o.near"), F.col("n.id")).otherwise(F.col("n.key"))
         hot = self._hot()
         if hot is None:
