@@ -20,9 +20,11 @@ from pyspark.sql import DataFrame
 
 #: Shapes that may dominate a page together.
 FEW = 6
+#: Items of a page that hold a word which the page keeps repeating.
+REPEATED = 3
 _TAG = re.compile(r"<a\b[^>]*?href\s*=\s*[\"']?([^\"'>\s]+)[^>]*>(.*?)</a>", re.I | re.S)
-_MARKUP = re.compile(r"<[^>]{1,200}>")
-_MARKDOWN = re.compile(r"\[([^\]\n]{0,120})\]\((\S{1,400}?)\)")
+_MARKUP = re.compile(r"<[/!]?[A-Za-z][^<>]*>")
+_MARKDOWN = re.compile(r"\[([^\[\]\n]*)\]\(([^\s()]+)\)")
 _URL = re.compile(r"(?:https?://|www\.)\S+", re.I)
 _BULLET = re.compile(r"^\s*(?:[-*•·–>]|\d{1,3}[.)])\s+")
 _BREAK = re.compile(r"\s[|/*•·»~]+\s|\s*[|•·]\s*|\s*;\s+|(?<=[.!?…])[\"'”)]*\s+")
@@ -48,8 +50,9 @@ def items(text: str) -> list[tuple[str, bool]]:
     return out
 
 
-def shape_of(item: str, link: bool, times: int) -> tuple[tuple, int, bool]:
-    """Shape, words and whether such an item can't be a sentence."""
+def shape_of(item: str, link: bool, times: int, echoed: float = 1.0) -> tuple[tuple, int, bool]:
+    """Shape, words and whether such an item can't be a sentence. ``echoed`` is the share of its words that the page keeps
+    repeating, or 1 beside a link: a short item without a full stop is a label only then, not a line of a poem or a list."""
     words = _WORD.findall(item)
     n = len(words)
     tags = item.count("#")
@@ -69,7 +72,7 @@ def shape_of(item: str, link: bool, times: int) -> tuple[tuple, int, bool]:
         kind = "repeating"
     elif times >= 3 and n <= 8:
         kind = "repeated"
-    elif not ended and (n <= 4 or (n <= 12 and capital >= 0.5 * n)):
+    elif not ended and echoed >= 0.5 and (n <= 4 or (n <= 12 and capital >= 0.5 * n)):
         kind = "label"
     else:
         kind = "sentence"
@@ -82,10 +85,14 @@ def judged(text: str | None, share: float = 2 / 3, min_items: int = 4) -> tuple[
         return 0.0, 0, False
     found = items(text)
     times = Counter(item.lower() for item, _ in found)
+    words = [[w.lower() for w in _WORD.findall(item)] for item, _ in found]
+    often = {w for w, n in Counter(w for ws in words for w in set(ws)).items() if n >= REPEATED}
     shapes: Counter = Counter()
     total = junk_items = 0
-    for item, link in found:
-        shape, weight, junk = shape_of(item, link, times[item.lower()])
+    for i, (item, link) in enumerate(found):
+        beside = (i > 0 and found[i - 1][1]) or (i + 1 < len(found) and found[i + 1][1])
+        echoed = 1.0 if beside else sum(w in often for w in words[i]) / max(1, len(words[i]))
+        shape, weight, junk = shape_of(item, link, times[item.lower()], echoed)
         total += weight
         if junk:
             shapes[shape] += weight

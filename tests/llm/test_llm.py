@@ -427,6 +427,10 @@ def test_spam_pages(spark):
         "links at the end": prose * 3 + " ".join(f"See https://a.example/{i} for more." for i in range(4)),
         "skills": prose * 3 + "Skills: wound care, tax filing, menu costing, load testing, label printing, grant writing",
         "sentences": "\n".join(f"- The talk with lead number {i} lasted some minutes and was friendly." for i in range(20)),
+        "tips": "Apply early\nBring your passport\nCheck the date\nDress well\nEat before\nFind the room",
+        "poem": "The river bends\nwhere willows stand\nand evening lends\na golden hand\nto field and stone\nand all the land",
+        "menu": "Onion soup 4.50\nGrilled trout 12.00\nApple cake 3.20\nGreen tea 2.10\nLamb stew 11.80",
+        "many links": "[" * 50_000 + "<" * 50_000,
         "short": "scam",
         "empty": "",
         "null": None,
