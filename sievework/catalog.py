@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sievework.plans import analytics, cleaning, streams
+from sievework.plans import analytics, cleaning, lookups, streams
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,8 +16,8 @@ def flagship(spark: SparkSession, root: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {**cleaning.QUERIES, **analytics.QUERIES, **streams.QUERIES}
+    return {**cleaning.QUERIES, **analytics.QUERIES, **lookups.QUERIES, **streams.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return analytics.SQL | streams.SQL | cleaning.SQL
+    return analytics.SQL | lookups.SQL | streams.SQL | cleaning.SQL

@@ -128,3 +128,8 @@ def days_ago(text: Column) -> Column:
     unit = F.regexp_extract(low, r"(\d+)\s*(day|week|month|hour|minute)s?\s+ago", 2)
     size = F.when(unit == "day", 1).when(unit == "week", 7).when(unit == "month", 30).otherwise(0)
     return F.when(n != "", n.cast("int") * size).when(low.rlike("today|just (now|posted)"), 0).when(low.rlike("yesterday"), 1)
+
+
+def unleet(word: Column) -> Column:
+    """A word whose digits and signs stand for letters, with the letters; words without letters stay."""
+    return F.when(word.rlike("[A-Za-z]") & word.rlike("[013457@$]"), F.translate(word, "013457@$", "oieastas")).otherwise(word)

@@ -34,6 +34,8 @@ def components(edges: DataFrame, a: str, b: str, rounds: int = 60) -> DataFrame:
         if before == tuple(state):
             break
         before = tuple(state)
+    else:
+        raise RuntimeError(f"components not settled after {rounds} rounds")
     return nodes.join(edge.select(F.col("src").alias("node"), "dst"), "node", "left").select("node", F.coalesce("dst", "node").alias("component"))
 
 

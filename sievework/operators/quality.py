@@ -180,3 +180,35 @@ def snapshot_difference(before: DataFrame, after: DataFrame, key: str, columns:
     both = a.join(b, key, "full_outer")
     change = F.when(F.col("x").isNull(), "added").when(F.col("y").isNull(), "removed").when(~F.col("x").eqNullSafe(F.col("y")), "changed")
     return both.select(key, change.alias("change")).where("change is not null")
+
+
+def chi_square(cells: DataFrame, a: str, b: str) -> DataFrame:
+    """(chi_square, freedom) of two columns of counts over the same classes, a row per class; empty classes are left out."""
+    total = cells.agg(F.sum(a).alias("ta"), F.sum(b).alias("tb"))  # one row
+    rows = cells.where(F.col(a) + F.col(b) > 0).join(F.broadcast(total)).withColumn("t", F.col(a) + F.col(b))
+    ea, eb = F.col("t") * F.col("ta") / (F.col("ta") + F.col("tb")), F.col("t") * F.col("tb") / (F.col("ta") + F.col("tb"))
+    return rows.agg(F.sum((F.col(a) - ea) * (F.col(a) - ea) / ea + (F.col(b) - eb) * (F.col(b) - eb) / eb).alias("chi_square"), (F.count("*") - 1).alias("freedom"))
+
+
+def leading_digits_test(digits: DataFrame) -> DataFrame:
+    """(chi_square, deviation) of the result of ``leading_digits``: the statistic on eight degrees of freedom and the mean
+    absolute deviation of the shares."""
+    total = digits.agg(F.sum("n").alias("t"))  # one row
+    e = F.col("t") * F.col("expected")
+    return digits.join(F.broadcast(total)).agg(F.sum((F.col("n") - e) * (F.col("n") - e) / e).alias("chi_square"), F.avg(F.abs(F.col("share") - F.col("expected"))).alias("deviation"))
+
+
+def disagreement(df: DataFrame, key: str, scores: list[str]) -> DataFrame:
+    """(key, spread, entropy): largest less smallest of the scores, and their mean binary entropy in bits."""
+    safe = [F.greatest(F.lit(0.001), F.least(F.lit(0.999), F.col(s))) for s in scores]
+    entropy = sum((-p * F.log2(p) - (1 - p) * F.log2(1 - p) for p in safe), F.lit(0.0)) / len(scores)
+    return df.select(key, (F.greatest(*safe) - F.least(*safe)).alias("spread"), entropy.alias("entropy"))
+
+
+def consensus(df: DataFrame, key: str, weights: dict[str, float]) -> DataFrame:
+    """(key, value, agreement): weighted mean of the scores, and one less twice their standard deviation, 0 at least."""
+    n, total = len(weights), sum(weights.values())
+    value = sum((F.col(s) * w for s, w in weights.items()), F.lit(0.0)) / total
+    mean = sum((F.col(s) for s in weights), F.lit(0.0)) / n
+    spread = F.sqrt(sum(((F.col(s) - mean) * (F.col(s) - mean) for s in weights), F.lit(0.0)) / n)
+    return df.select(key, value.alias("value"), F.greatest(F.lit(0.0), 1 - 2 * spread).alias("agreement"))

@@ -123,3 +123,29 @@ def scored(df: DataFrame, key: str, title: str, text: str, signals: list[Signal]
     found = fired(signals or text_signals(F.col("_both"), F.col("_low")))
     rows = prepared(df, title, text).select(F.col(key), found.alias("signals"))
     return rows.select(key, "signals", score(F.col("signals")).alias("score"), confidence(F.col("signals")).alias("confidence")).withColumn("risk", risk(F.col("score")))
+
+
+def interactions(signals: Column) -> Column:
+    """Array of structs (a, b, effect) of every two signals of a row in the order of their names: what both together move
+    the score beyond the sum of what each moves alone."""
+    whole, n = total(signals), F.size(signals)
+
+    def without(left: Column, *gone: Column) -> Column:
+        return F.when(n == len(gone), 0.0).otherwise(sigmoid(left))
+
+    def effect(x: Column, y: Column) -> Column:
+        a, b = logit(x["weight"]), logit(y["weight"])
+        return sigmoid(whole) - without(whole - a, x) - without(whole - b, y) + without(whole - a - b, x, y)
+
+    ordered = F.array_sort(signals, lambda x, y: F.when(x["name"] < y["name"], -1).when(x["name"] > y["name"], 1).otherwise(0))
+    pairs = F.transform(ordered, lambda x: F.transform(F.filter(ordered, lambda y: y["name"] > x["name"]), lambda y: F.struct(x["name"].alias("a"), y["name"].alias("b"), effect(x, y).alias("effect"))))
+    return F.flatten(pairs)
+
+
+def least_removals(signals: Column) -> Column:
+    """The least number of signals whose removal brings a score of one half or more below one half; null where the score is
+    lower already or no removals do. Log-odds add up, so taking the greatest first is optimal."""
+    whole = total(signals)
+    falling = F.reverse(F.array_sort(F.filter(F.transform(signals, lambda s: logit(s["weight"])), lambda w: w > 0)))
+    state = F.aggregate(falling, F.struct(whole.alias("left"), F.lit(0).cast("long").alias("k")), lambda a, w: F.when(a["left"] >= -1e-9, F.struct((a["left"] - w).alias("left"), (a["k"] + 1).alias("k"))).otherwise(a))
+    return F.when((F.size(signals) > 0) & (whole >= 0) & (state["left"] < -1e-9), state["k"])

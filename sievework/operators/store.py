@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -25,8 +27,10 @@ def unseen(incoming: DataFrame, store: DataFrame, key: str) -> DataFrame:
 
 
 def phrase_search(df: DataFrame, phrase: str, columns: list[str]) -> DataFrame:
-    """Rows in which the words of ``phrase`` stand next to each other in one of the columns."""
-    words = [w for w in phrase.lower().split() if w.isalnum()]
+    """Rows in which the words of ``phrase`` stand next to each other in one of the columns; none for a phrase without words."""
+    words = re.findall(r"[a-z0-9]+", phrase.lower())  # parted as the texts are
+    if not words:
+        return df.limit(0)
     pattern = r"(^|[^a-z0-9])" + r"[^a-z0-9]+".join(words) + r"([^a-z0-9]|$)"
     hit = F.lit(False)
     for c in columns:

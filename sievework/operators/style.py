@@ -57,7 +57,7 @@ def families(df: DataFrame, key: str, text: str, least: float = 0.75) -> DataFra
     grams = rows.select("k", F.size("s").alias("n"), F.explode("s").alias("g"))
     often = grams.groupBy("g").agg(F.count("*").alias("f"))
     rank = F.row_number().over(W.partitionBy("k").orderBy("f", "g"))
-    rare = grams.join(often, "g").withColumn("r", rank).where(F.col("r") <= F.col("n") - F.ceil(F.lit(least) * F.col("n")) + 1).where("f > 1").select("g", "k", "n")
+    rare = grams.join(often, "g").withColumn("r", rank).where(F.col("r") <= F.col("n") - F.ceil(F.lit(least) * F.col("n") - 1e-9) + 1).where("f > 1").select("g", "k", "n")
     pairs = rare.alias("x").join(rare.alias("y"), "g").where((F.col("x.k") < F.col("y.k")) & (F.least("x.n", "y.n") >= least * F.greatest("x.n", "y.n"))).select(F.col("x.k").alias("a"), F.col("y.k").alias("b")).distinct()
     both = pairs.join(rows.select(F.col("k").alias("a"), F.col("s").alias("sa")), "a").join(rows.select(F.col("k").alias("b"), F.col("s").alias("sb")), "b")
     return both.select("a", "b", T.jaccard(F.col("sa"), F.col("sb")).alias("similarity")).where(F.col("similarity") >= least)

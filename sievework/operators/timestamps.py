@@ -55,6 +55,8 @@ _AGO = r"(?i)^(?:posted\s+)?(\d+|an?|one)\+?\s+(second|sec|minute|min|hour|hr|da
 _NOW = r"(?i)^(?:just\s+(?:now|posted)|now|(?:posted\s+)?today)$"
 _YESTERDAY = r"(?i)^(?:posted\s+)?yesterday$"
 DAY = 86_400_000_000
+#: Seconds from 1970 to the end of the year 2200; later instants, and phrases of 100,000 units and more, are impossible.
+LAST_SECOND = 7_289_654_400
 #: Microseconds by unit of a relative phrase (fixed values).
 UNITS = {"sec": 1_000_000, "min": 60_000_000, "hou": 3_600_000_000, "hr": 3_600_000_000, "day": DAY, "wee": 7 * DAY, "mon": 30 * DAY, "yea": 365 * DAY}
 
@@ -125,15 +127,15 @@ def readings(rows: DataFrame) -> DataFrame:
     step = step.withColumns({"shift": shift, "local": F.col("days") * DAY + F.col("time"), "local_turned": F.col("turned") * DAY + F.col("time")})
     step = step.withColumns({f"utc_{c}": F.when(F.col("mark") == "", _to_utc(F.col(c), F.col("zone"))).otherwise(F.col(c) - F.col("shift")) for c in ("local", "local_turned")})
 
-    digits = F.when(F.col("v").rlike(r"^\d{9,14}$"), F.col("v").cast("long"))
+    digits = F.when(F.col("v").rlike(r"^\d{9,}$"), F.col("v").try_cast("long"))
     count, unit = F.regexp_extract("v", _AGO, 1), F.lower(F.substring(F.regexp_extract("v", _AGO, 2), 1, 3))
     size = _chain([(unit == u, F.lit(n).cast("long")) for u, n in UNITS.items()], F.lit(None).cast("long"))
-    many = F.when(count.rlike(r"^\d{1,5}$"), count.cast("long")).when(~count.rlike(r"\d"), F.lit(1).cast("long"))
-    back = F.when(F.col("v").rlike(_AGO), many * size).when(F.col("v").rlike(_NOW), F.lit(0).cast("long")).when(F.col("v").rlike(_YESTERDAY), F.lit(DAY).cast("long"))
+    many = F.when(count.rlike(r"^\d+$"), count.try_cast("long")).when(~count.rlike(r"\d"), F.lit(1).cast("long"))
+    back = F.when(F.col("v").rlike(_AGO), F.when(many < 100_000, many) * size).when(F.col("v").rlike(_NOW), F.lit(0).cast("long")).when(F.col("v").rlike(_YESTERDAY), F.lit(DAY).cast("long"))
     order = F.coalesce("date_order", F.lit(""))
     out = {
-        "epoch": F.when(F.length("v") <= 11, digits * 1_000_000).otherwise(digits * 1000),
-        "relative": F.unix_micros("ref") - back,
+        "epoch": F.when(F.length("v") <= 11, F.when(digits < LAST_SECOND, digits) * 1_000_000).otherwise(F.when(digits < LAST_SECOND * 1000, digits) * 1000),
+        "relative": F.when(back >= 0, F.unix_micros("ref") - back),
         "month_first": F.when((F.col("shape") == "slashed") & (order != "DMY"), F.col("utc_local")),
         "day_first": F.when((F.col("shape") == "slashed") & (order != "MDY"), F.col("utc_local_turned")),
     } | {f: F.when(F.col("shape") == f, F.col("utc_local")) for f in ("iso", "compact", "dotted", "named_dmy", "named_mdy")}

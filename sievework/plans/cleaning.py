@@ -52,10 +52,13 @@ def _case(text: str, options: list[tuple[str, str]]) -> str:
 _CUR = [(r"a\$|aud|australian dollar", "'AUD'"), (r"c\$|cad|canadian dollar", "'CAD'"), ("zł|pln|zlot", "'PLN'"), (r"inr|₹|rupee|\blpa\b|(^|[^a-z])k?rs\b", "'INR'"), ("gbp|£|pound|sterling|pence|penny", "'GBP'"), ("eur|€", "'EUR'"), (r"usd|\$|dollar", "'USD'")]
 _SCALE = [("crore", "1e7"), (r"lakh|\blacs?\b|\blpa\b", "1e5"), (r"thousand|''000|,000s|\b000s|(^|[^a-z])k([^a-z]|$)|(^|[^a-z])k(usd|gbp|eur|aud|cad|pln|inr|rs|us\$|a\$|c\$)", "1e3"), (r"\bcents?\b|pence|penny", "1e-2")]
 _PERIOD = [(r"hour|/\s*hr?\b|\bp\.?\s?h\b", "2080"), (r"\bday|daily|/\s*d\b|\bp\.?\s?d\b", "260"), (r"week|/\s*wk\b|\bp\.?\s?w\b", "52"), (r"month|/\s*mo\b|\bpcm\b|\bp\.?\s?m\b", "12"), (r"year|annual|annum|/\s*yr\b|\bp\.?\s?a\b|\blpa\b", "1")]
+# The sentence about pay is found by parting the text, not by the operator's pattern.
+_CUE = r"\b(?:pay|salary|salaries|compensation|amount|amounts|figures|numbers|range|rate|rates|wage|wages)\b"
+_MONEY = r"\b(?:usd|gbp|eur|inr|aud|cad|pln|dollars?|euros?|pounds?|pence|cents?|rupees?|lakhs?|zlot(?:y|ys|ych)|lpa)\b|[$£€₹]|zł"
 P7 = f"""
 WITH j AS (SELECT id, CASE WHEN salary_min > 0 AND NOT isnan(salary_min) THEN salary_min ELSE 0 END AS a, CASE WHEN salary_max > 0 AND NOT isnan(salary_max) THEN salary_max ELSE 0 END AS b, lower(trim(coalesce(salary_currency, ''))) AS u, description AS t FROM jobs),
 k AS (SELECT *, {_case("u", _CUR)} AS uc, {_case("u", _SCALE)} AS us, {_case("u", _PERIOD)} AS up FROM j WHERE a > 0 OR b > 0),
-n AS (SELECT *, us IS NULL AND up IS NULL AS bare, lower(regexp_extract(coalesce(t, ''), '{units._NOTE}', 0)) AS n FROM k),
+n AS (SELECT *, us IS NULL AND up IS NULL AS bare, coalesce(regexp_extract(list_filter(regexp_split_to_array(lower(coalesce(t, '')), '[.!?\n]'), lambda x: regexp_matches(x, '{_CUE}.*({_MONEY})'))[1], '{_CUE}.*$', 0), '') AS n FROM k),
 f AS (SELECT id, a, b, coalesce(uc, {_case("n", _CUR)}) AS currency, (CASE WHEN bare THEN coalesce({_case("n", _SCALE)}, 1) ELSE coalesce(us, 1) END) * (CASE WHEN bare THEN coalesce({_case("n", _PERIOD)}, 1) ELSE coalesce(up, 1) END) AS x FROM n)
 SELECT id, currency, CAST(round(a * x) AS BIGINT) AS year_min, CAST(round(b * x) AS BIGINT) AS year_max FROM f WHERE currency IS NOT NULL"""
 SQL = {"p7_found": P7}

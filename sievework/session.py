@@ -36,6 +36,8 @@ def shared_dir(spark: SparkSession) -> str:
         if current.isDefined():
             base = current.get()
         else:
+            if not spark.sparkContext.master.startswith("local"):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
             import tempfile
 
             base = "file://" + tempfile.mkdtemp(prefix="sievework-")

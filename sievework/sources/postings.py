@@ -1,4 +1,4 @@
-"""Sources of postings: JSON with many spellings of its fields, pages of HTML, labelled CSV, and search pages."""
+"""Sources of postings: JSON with many spellings of its fields, pages of HTML, free text and labelled CSV."""
 
 from __future__ import annotations
 
@@ -8,22 +8,32 @@ from pyspark.sql import types as T
 
 #: Names under which sources deliver each field; the first that is present counts (fixed values).
 ALIASES = {
-    "url": ("url", "job_url", "link", "apply_url", "jobUrl"),
-    "title": ("title", "job_title", "jobTitle", "position", "name"),
-    "company": ("company", "company_name", "companyName", "employer", "organization"),
-    "location": ("location", "job_location", "jobLocation", "city"),
-    "description": ("description", "job_description", "jobDescription", "body", "text"),
-    "salary_min": ("salary_min", "min_salary", "salary_from", "salaryMin"),
-    "salary_max": ("salary_max", "max_salary", "salary_to", "salaryMax"),
-    "salary_currency": ("salary_currency", "currency", "salaryCurrency"),
-    "posted_date": ("posted_date", "date_posted", "datePosted", "published_at", "created_at"),
-    "is_remote": ("is_remote", "remote", "isRemote", "telecommute"),
-    "source": ("source", "site", "board"),
+    "url": "url link job_url jobUrl job_link".split(),
+    "title": "title job_title jobTitle position role name".split(),
+    "company": "company company_name companyName employer organization".split(),
+    "location": "location city place jobLocation job_location".split(),
+    "description": "description body content text details job_description jobDescription full_description".split(),
+    "salary_min": "salary_min salaryMin min_salary salary_from compensation_min pay_min".split(),
+    "salary_max": "salary_max salaryMax max_salary salary_to compensation_max pay_max".split(),
+    "salary_currency": "salary_currency currency salaryCurrency pay_currency".split(),
+    "salary": "salary pay compensation".split(),
+    "posted_date": "posted_date postedDate date_posted datePosted date listed_at created_at".split(),
+    "applicant_count": "applicant_count applicantCount applicants applications num_applicants".split(),
+    "experience_level": "experience_level experienceLevel seniority level experience seniority_level".split(),
+    "employment_type": "employment_type employmentType job_type jobType type work_type".split(),
+    "industry": "industry sector job_function".split(),
+    "company_size": "company_size companySize employees employee_count company_employees".split(),
+    "company_linkedin_url": "company_linkedin_url companyLinkedinUrl company_url companyUrl org_url".split(),
+    "recruiter_name": "recruiter_name recruiterName recruiter posted_by hiring_manager contact".split(),
+    "is_remote": "is_remote isRemote remote work_from_home wfh remote_ok".split(),
+    "is_repost": "is_repost isRepost repost reposted".split(),
+    "source": "source platform origin".split(),
 }
 TRUE_WORDS = ("true", "yes", "1", "remote", "y")
+CURRENCIES = {"£": "GBP", "€": "EUR", "₹": "INR", "$": "USD"}
 
 
-def _picked(fields: Column, names: tuple[str, ...]) -> Column:
+def _picked(fields: Column, names: list[str]) -> Column:
     """The value of the first name that is a key of the map, even an empty one."""
     out = F.lit(None).cast("string")
     for name in reversed(names):
@@ -32,11 +42,18 @@ def _picked(fields: Column, names: tuple[str, ...]) -> Column:
 
 
 def posting_columns(fields: Column) -> list[Column]:
-    """Typed posting columns from a map of delivered fields; missing text is '', missing numbers 0."""
-    text = [F.coalesce(_picked(fields, ALIASES[c]), F.lit("")).alias(c) for c in ("url", "title", "company", "location", "description", "salary_currency", "posted_date", "source")]
-    pay = [F.coalesce(F.regexp_replace(_picked(fields, ALIASES[c]), "[^0-9.]", "").try_cast("double"), F.lit(0.0)).alias(c) for c in ("salary_min", "salary_max")]
-    remote = F.coalesce(F.lower(F.trim(_picked(fields, ALIASES["is_remote"]))).isin(*TRUE_WORDS), F.lit(False)).alias("is_remote")
-    return [*text, *pay, remote]
+    """Typed posting columns from a map of delivered fields; missing text is '', missing numbers 0. Where no lowest pay is
+    delivered, a written salary gives both bounds and the currency."""
+    get = lambda name: F.coalesce(_picked(fields, ALIASES[name]), F.lit(""))
+    text = [get(c).alias(c) for c in ("url", "title", "company", "location", "description", "posted_date", "industry", "company_size", "company_linkedin_url", "recruiter_name", "source")]
+    low = [F.lower(get(c)).alias(c) for c in ("experience_level", "employment_type")]
+    number = lambda name: F.coalesce(F.regexp_replace(get(name), "[^0-9.]", "").try_cast("double"), F.lit(0.0))
+    least, most, said = number("salary_min"), number("salary_max"), pay_in_text(get("salary"))
+    bare = (least == 0) & (said["low"] > 0)
+    currency = F.coalesce(*[F.when(get("salary").contains(sign), code) for sign, code in CURRENCIES.items()], F.upper(get("salary_currency")))
+    pay = [F.when(bare, said["low"]).otherwise(least).alias("salary_min"), F.when(bare, said["high"]).otherwise(most).alias("salary_max"), F.when(bare, currency).otherwise(F.upper(get("salary_currency"))).alias("salary_currency")]
+    flags = [F.lower(F.trim(get(c))).isin(*TRUE_WORDS).alias(c) for c in ("is_remote", "is_repost")]
+    return [*text, *low, *pay, F.coalesce(get("applicant_count").try_cast("int"), F.lit(0)).alias("applicant_count"), *flags]
 
 
 def from_json_lines(lines: DataFrame, column: str = "value") -> DataFrame:
@@ -46,15 +63,18 @@ def from_json_lines(lines: DataFrame, column: str = "value") -> DataFrame:
 
 
 def read_json(spark: SparkSession, path: str) -> DataFrame:
-    """Postings from files that hold a JSON array, one object, or an object a line. Files are read line by line unless
-    they begin with '['; arrays are read whole per file and exploded."""
-    text = spark.read.text(path, wholetext=True).select("value")
-    many = text.where(F.ltrim("value").startswith("["))
-    arrays = many.select(F.explode(F.from_json("value", T.ArrayType(T.MapType(T.StringType(), T.StringType())))).alias("f")).where("f is not null").select(*posting_columns(F.col("f")))
-    single = text.where(~F.ltrim("value").startswith("["))
-    whole = F.from_json("value", T.MapType(T.StringType(), T.StringType()))
-    lines = single.select(F.explode(F.when(F.regexp_count("value", F.lit(r"\n\s*\{")) > 0, F.split("value", r"\r?\n")).otherwise(F.array("value"))).alias("value"))
-    return arrays.unionByName(lines.select(whole.alias("f")).where("f is not null and size(f) > 0").select(*posting_columns(F.col("f"))))
+    """Postings from files that hold a JSON array, one object, or an object a line. Files of lines are split and read line
+    by line; only a file whose first sign is '[', or whose first line isn't an object of its own, is read whole."""
+    fields = T.MapType(T.StringType(), T.StringType())
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), "value")
+    # The first line of a file tells its kind; it stands in the file's first block.
+    heads = lines.where((F.col("at") == 0) & (F.trim("value") != "")).groupBy("file").agg(F.first("value").alias("head"))
+    whole_files = heads.where(F.ltrim("head").startswith("[") | (F.ltrim("head").startswith("{") & ~F.rtrim("head").endswith("}"))).select("file")
+    single = lines.join(whole_files, "file", "left_anti").select(F.from_json("value", fields).alias("f"))
+    text = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value").join(whole_files, "file", "left_semi")
+    many = F.when(F.ltrim("value").startswith("["), F.from_json("value", T.ArrayType(fields))).otherwise(F.array(F.from_json("value", fields)))
+    rows = single.unionByName(text.select(F.explode(many).alias("f")))
+    return rows.where("f is not null and size(f) > 0").select(*posting_columns(F.col("f")))
 
 
 def read_labels(spark: SparkSession, path: str) -> DataFrame:
@@ -112,7 +132,7 @@ def pay_in_text(text: Column) -> Column:
         return F.coalesce(digits * F.when(F.regexp_extract(t, pattern, thousands) != "", 1000).otherwise(1), F.lit(0.0))
 
     ranged = t.rlike(span)
-    after = F.lower(F.regexp_extract(t, rf"(?:{span}|{one})[^.\n]{{0,24}}", 0))
+    after = F.lower(F.regexp_extract(t, rf"(?:{span}|{one})[^.\n]*", 0))
     period = F.when(after.rlike("hour|/ ?hr|/ ?h\\b"), "hour").when(after.rlike("day"), "day").when(after.rlike("week"), "week").when(after.rlike("month|/ ?mo"), "month").otherwise("year")
     low = F.when(ranged, amount(span, 1, 2)).otherwise(amount(one, 1, 2))
     high = F.when(ranged, amount(span, 3, 4)).otherwise(amount(one, 1, 2))

@@ -7,11 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievework.sources import postings
+from sievework.sources import connectors, postings
 
 Reader = Callable[[SparkSession, str], DataFrame]
 #: Readers by name; add further ones with ``register``.
-SOURCES: dict[str, Reader] = {"json": postings.read_json}
+SOURCES: dict[str, Reader] = {"json": postings.read_json} | {board: lambda spark, path, board=board: connectors.read_board(spark, path, board) for board in connectors.BOARDS}
 
 
 def register(name: str, reader: Reader) -> None:

@@ -52,15 +52,19 @@ def running_average(stream: DataFrame, key: str, at: str, value: str, alpha: flo
 
 
 def drained(stream: DataFrame, name: str, mode: str) -> DataFrame:
-    """Run a stream over all that is there now and give its result as a table (memory sink, for tests and small results;
-    production streams write to a table with their own checkpoint)."""
+    """Run a stream over all that is there now and give its result as a table in the shared folder: every micro-batch is a
+    folder of its own, so one that is run again replaces itself. In mode complete the last one is the result."""
     import uuid
 
     spark = stream.sparkSession
-    sink = f"{name}_{uuid.uuid4().hex}"
-    run = stream.writeStream.format("memory").queryName(sink).outputMode(mode).option("checkpointLocation", f"{shared_dir(spark)}/sievework/{sink}").trigger(availableNow=True).start()
+    base = f"{shared_dir(spark)}/sievework/{name}_{uuid.uuid4().hex}"
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{base}/rows" if mode == "complete" else f"{base}/rows/batch={number}")
+
+    run = stream.writeStream.foreachBatch(keep).outputMode(mode).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
     run.awaitTermination()
-    return spark.table(sink)
+    return spark.read.schema(stream.schema).parquet(f"{base}/rows") if run.lastProgress else spark.createDataFrame([], stream.schema)
 
 
 def sliding(stream: DataFrame, at: str, key: str, width: str, slide: str, late: str) -> DataFrame:
