@@ -129,7 +129,7 @@ class Maker:
     """Random sentences with labelled spans."""
 
     given_names, surnames, streets, domains, towns, before = GIVEN, SURNAMES, STREETS, DOMAINS, TOWNS, BEFORE
-    known = 0.6  # share of names from the lists, the rest is invented
+    known = 0.45  # share of names from the lists, the rest is invented
 
     def __init__(self, seed: int):
         self.r = random.Random(seed)
@@ -158,6 +158,8 @@ class Maker:
         if self.chance(0.1):
             head = f"{self.pick(self.given_names)} {self.pick(self.surnames)} & {self.pick(['Sons', 'Daughters', 'Co', 'Partners', 'Associates'])}"
         name = head + self.pick(["", " " + self.pick(TRADES), " " + self.pick(TRADES), " " + self.pick(TRADES) + " " + self.pick(TRADES)]) + self.pick(["", "", " " + self.pick(FORMS)])
+        if self.chance(0.1):
+            name = f"{self.pick(TRADES)}, {self.made(2, 3)}" + self.pick(["", "", " " + self.pick(FORMS)])
         return name.upper() if self.chance(0.08) else name
 
     def product(self) -> str:
