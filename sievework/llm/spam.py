@@ -50,10 +50,9 @@ def items(text: str) -> list[tuple[str, bool]]:
     return out
 
 
-def shape_of(item: str, link: bool, times: int, echoed: float = 1.0) -> tuple[tuple, int, bool]:
+def shape_of(item: str, words: list[str], link: bool, times: int, echoed: float = 1.0) -> tuple[tuple, int, bool]:
     """Shape, words and whether such an item can't be a sentence. ``echoed`` is the share of its words that the page keeps
     repeating, or 1 beside a link: a short item without a full stop is a label only then, not a line of a poem or a list."""
-    words = _WORD.findall(item)
     n = len(words)
     tags = item.count("#")
     commas = item.count(",") + item.count(";")
@@ -85,14 +84,15 @@ def judged(text: str | None, share: float = 2 / 3, min_items: int = 4) -> tuple[
         return 0.0, 0, False
     found = items(text)
     times = Counter(item.lower() for item, _ in found)
-    words = [[w.lower() for w in _WORD.findall(item)] for item, _ in found]
-    often = {w for w, n in Counter(w for ws in words for w in set(ws)).items() if n >= REPEATED}
+    words = [_WORD.findall(item) for item, _ in found]
+    low = [{w.lower() for w in ws} for ws in words]
+    often = {w for w, n in Counter(w for ws in low for w in ws).items() if n >= REPEATED}
     shapes: Counter = Counter()
     total = junk_items = 0
     for i, (item, link) in enumerate(found):
         beside = (i > 0 and found[i - 1][1]) or (i + 1 < len(found) and found[i + 1][1])
-        echoed = 1.0 if beside else sum(w in often for w in words[i]) / max(1, len(words[i]))
-        shape, weight, junk = shape_of(item, link, times[item.lower()], echoed)
+        echoed = 1.0 if beside else len(low[i] & often) / max(1, len(low[i]))
+        shape, weight, junk = shape_of(item, words[i], link, times[item.lower()], echoed)
         total += weight
         if junk:
             shapes[shape] += weight
