@@ -56,10 +56,15 @@ def lexical_variety(text: Column, first: int = 200) -> Column:
 
 
 def ngrams(words: Column, n: int) -> Column:
-    """All runs of ``n`` neighbouring words, joined by spaces."""
-    last = F.size(words) - n + 1
-    runs = F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.array_join(F.slice(words, i, n), " "))
-    return F.when(last >= 1, runs).otherwise(F.array().cast("array<string>"))
+    """All runs of ``n`` neighbouring words, joined by spaces. The words are bound to a variable first: inside a lambda the
+    expression itself would be computed again for every run."""
+
+    def runs(w: Column) -> Column:
+        last = F.size(w) - n + 1
+        every = F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.array_join(F.slice(w, i, n), " "))
+        return F.when(last >= 1, every).otherwise(F.array().cast("array<string>"))
+
+    return F.get(F.transform(F.array(words), runs), F.lit(0))
 
 
 def char_shingles(text: Column, k: int) -> Column:

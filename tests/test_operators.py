@@ -179,6 +179,28 @@ def test_style(spark):
     assert set(pairs) == {(1, 2), (1, 3), (2, 3)} and pairs[1, 3] == 1.0
 
 
+def test_ngrams_compute_the_words_once_a_row(spark):
+    from pyspark.sql.types import ArrayType, StringType
+
+    from sievework.functions import text as T
+
+    calls = spark.sparkContext.accumulator(0)
+
+    def parted(t):
+        calls.add(1)
+        return t.split()
+
+    words = F.udf(parted, ArrayType(StringType())).asNondeterministic()(F.col("t"))
+    df = spark.createDataFrame([("a b c d",), ("a b",), ("",)], "t string")
+    assert [r.g for r in df.select(T.ngrams(words, 3).alias("g")).collect()] == [["a b c", "b c d"], [], []] and calls.value == 3
+    # a page of 40,000 words: minutes when every run parts the text again
+    import time
+
+    began = time.time()
+    page = spark.createDataFrame([(" ".join(["lorem", "ipsum", "dolor", "sit"] * 10_000),)], "t string")
+    assert page.select(F.size(T.ngrams(T.tokens(F.col("t")), 3)).alias("n")).head().n == 39_998 and time.time() - began < 60
+
+
 def test_template_families_of_jobs_against_brute_force(spark, tmp_path):
     import random
 
