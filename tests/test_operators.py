@@ -226,6 +226,23 @@ def test_template_families_of_jobs_against_brute_force(spark, tmp_path):
     assert {(x.id, x.family) for x in catalog.queries()["style_template_families"](spark, str(tmp_path)).collect()} == want and len(want) >= 12
 
 
+def test_families_in_blocks_against_brute_force(spark, monkeypatch):
+    import random
+
+    from sievework.operators import style
+
+    monkeypatch.setattr(style, "BLOCK", 20)  # every range of sizes in several parts, which meet one another
+    r = random.Random(8)
+    phrases = [" ".join(r.choice("abcdefghij") * r.randrange(1, 3) for _ in range(5)) for _ in range(12)]
+    texts = [" ".join(r.choice(phrases) for _ in range(r.randrange(1, 9))) for _ in range(250)] + [f"only {w}" for w in "abc"]
+    sets = [set(zip(t.split(), t.split()[1:])) for t in texts]
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, t string").repartition(5)
+    for least in (0.4, 0.75, 1.0):
+        want = {(i, j) for j in range(len(sets)) for i in range(j) if len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= least}
+        got = [(x.a, x.b) for x in style.families(df, "k", "t", least).collect()]
+        assert len(got) == len(set(got)) and set(got) == want and want
+
+
 def test_minimal_set(spark):
     rows = [(i % 2, i % 2, (i // 2) % 2, 1) for i in range(40)]
     df = spark.createDataFrame(rows, "y int, a int, b int, c int")
