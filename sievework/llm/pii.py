@@ -1,13 +1,11 @@
 """Problem 3: personal data in free text, by a character BiLSTM with a CRF on top.
 
 The network (``pii_train`` fits it in numpy from labelled spans) scores every character of a window with a tag of the BIO
-scheme over five kinds; the CRF's transitions make whole spans of it. Texts are cut into sentences. The network reads a
-sentence if its form admits personal data: a cluster of five digits, an at sign (also a written-out one), a number before a
-capitalised word, two neighbouring capitalised words or an initial beside one (unless the first merely opens the sentence),
-or, since names and addresses are also typed without capitals, a common word of addresses, forms of address, contacts or
-identity papers. All tests are array operations; README gives the share of held-out findings that they leave unread. Long
-sentences are read in overlapping windows: every character takes its scores from the window in which it lies deepest, and
-one Viterbi pass over the whole sentence reconciles them. The spans found are then set to whole tokens.
+scheme over five kinds; the CRF's transitions make whole spans of it. Texts are cut into sentences, and the network reads
+every one of them, whatever its form. Pieces that begin or end alike share the states of the network up to the first
+difference, which changes no result. Long sentences are read in overlapping windows: every character takes its scores from
+the window in which it lies deepest. The CRF scores every sentence as a whole; the path itself is only looked for where the
+best one isn't 'outside' throughout. The spans found are then set to whole tokens.
 
 Results: null, empty and blank texts have no findings; whole texts are read; the same string found twice in a row is one
 finding; repeated rows have the same findings.
@@ -34,18 +32,21 @@ TAGS = 1 + 2 * len(KINDS)
 WEIGHTS = os.path.join(os.path.dirname(os.path.abspath(__file__)), "pii_weights.npz")
 #: Longest window, and what neighbouring windows share.
 WINDOW, OVERLAP = 240, 80
-BATCH = 512
+#: Sentences and characters of one search for best paths, pieces of one run of the network, characters taken together.
+BATCH, CELLS, ROWS, POOL = 512, 1 << 18, 1024, 1 << 22
+#: Sentences beyond this length have their best path looked for at once.
+LONG = 5000
 
 #: Symbols with an own embedding: printable ASCII and letters of Western languages; all else shares three more.
 SYMBOLS = "".join(chr(c) for c in range(32, 127)) + "àáâãäåæçèéêëìíîïñòóôõöøùúûüýßœÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÑÒÓÔÕÖØÙÚÛÜÝŒłŁśŚżŻźŹćĆńŃęĘąĄšŠžŽčČřŘ’–"
 SIZE = len(SYMBOLS) + 4  # padding, other letter, other digit, other
 
-#: Words that make a sentence without capitals or digits worth reading (fixed values).
+#: Words that suggest personal data in a sentence without capitals or digits (``worth_reading``; fixed values).
 CUES = (
     "mr mrs ms miss dr prof mister madam herr frau madame monsieur senor senora dot whatsapp telegram sms phone telephone tel mobile landline email inbox contact attn "
     "recruiter named signed signature cheque payable regards sincerely cc passport ssn nino licence license insurance social"
 ).split()
-#: Words of addresses: a sentence is worth reading if a number stands among the four words before or the two after (fixed values).
+#: Words of addresses, which suggest one if a number stands among the four words before or the two after (fixed values).
 STREET_CUES = (
     "box street st road rd avenue ave lane ln drive dr court ct row blvd boulevard way place pl square terrace close crescent gardens grove mews passage parade circle parkway alley wharf quay walk hill rise green "
     "rue chemin impasse quai place calle via plaza paseo corso piazza platz flat apt apartment unit suite"
@@ -106,7 +107,8 @@ def sentences(cps: np.ndarray, off: np.ndarray, hashes: np.ndarray, s: np.ndarra
 
 
 def worth_reading(cps: np.ndarray, off: np.ndarray, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row, start and end of the sentences of a chunk whose form admits personal data."""
+    """Row, start and end of the sentences of a chunk whose form suggests personal data. A measure of texts only: the
+    operator doesn't choose by it, every sentence is read."""
     n = len(cps)
     if not n:
         z = np.zeros(0, np.int64)
@@ -158,6 +160,18 @@ def worth_reading(cps: np.ndarray, off: np.ndarray, text: str) -> tuple[np.ndarr
     return np.searchsorted(off, start, side="right") - 1, start, end
 
 
+def _groups(which: np.ndarray, length: np.ndarray) -> Iterator[np.ndarray]:
+    """The sentences ``which`` by length, as many at a time as BATCH and CELLS characters, filled up, allow."""
+    which = which[np.argsort(length[which], kind="stable")]
+    at = 0
+    while at < len(which):
+        n = min(BATCH, len(which) - at)
+        while n > 1 and n * length[which[at + n - 1]] > CELLS:
+            n //= 2
+        yield which[at : at + n]
+        at += n
+
+
 class Tagger:
     """The trained network."""
 
@@ -174,44 +188,83 @@ class Tagger:
         self.out, self.bias = (w["wo"] * 0.5).astype(np.float32), w["bo"].astype(np.float32)
         self.trans, self.first, self.last = w["trans"], w["first"], w["last"]
 
-    def scores(self, symbols: np.ndarray) -> np.ndarray:
-        """Emissions (time, batch, tags) of padded symbol rows; 0 is padding."""
-        n, t = symbols.shape
+    def states(self, symbols: np.ndarray, start: np.ndarray, end: np.ndarray, side: int) -> tuple[np.ndarray, np.ndarray]:
+        """What one direction gives to the emissions: the place of every character's values, and the values (place, tags).
+
+        The state behind a character depends only on what was read before it, so pieces that begin alike (in reading
+        direction) share their states up to the first difference; each state is computed once for a block of sorted pieces."""
+        data = symbols.tobytes()
+        keys = [data[a:b] if side == 0 else data[a:b][::-1] for a, b in zip(start.tolist(), end.tolist())]
+        order = np.array(sorted(range(len(keys)), key=keys.__getitem__), np.int64)
+        place = np.zeros(len(symbols), np.int32)
+        values, base = [], 0
         h = self.hidden
-        length = (symbols != 0).sum(axis=1)
-        # The second direction reads every row from its own last character, so padding stays behind either way.
-        turn = np.maximum(length[:, None] - 1 - np.arange(t), 0)
-        emissions = np.zeros((t, n, TAGS), np.float32)
-        for side in (0, 1):
-            seen = symbols if side == 0 else np.take_along_axis(symbols, turn, 1)
-            states = np.empty((t, n, h), np.float32)
-            hid, cell, room = (np.zeros((n, h), np.float32) for _ in range(3))
-            table, rec = self.inputs[side], self.recurrent[side]
-            z = np.empty((n, 4 * h), np.float32)
-            for step in range(t):
-                np.matmul(hid, rec, out=z)
-                z += table[seen[:, step]]
-                np.tanh(z, out=z)
-                np.multiply(cell, z[:, h : 2 * h], out=room)
-                cell += room
-                np.multiply(z[:, :h], z[:, 3 * h :], out=room)
-                room += z[:, 3 * h :]
-                cell += room
+        table, recurrent, out = self.inputs[side], self.recurrent[side], self.out[side * h : side * h + h]
+        for at in range(0, len(order), ROWS):
+            block = order[at : at + ROWS]
+            length = end[block] - start[block]
+            steps = np.arange(int(length.max()))[:, None]
+            live = steps < length  # step, piece
+            where = np.where(live, start[block] + steps if side == 0 else end[block] - 1 - steps, 0)
+            seen = np.where(live, symbols[where], 0)
+            new = np.ones(seen.shape, bool)
+            np.not_equal(seen[:, 1:], seen[:, :-1], out=new[:, 1:])
+            np.logical_or.accumulate(new, axis=0, out=new)
+            new &= live
+            number = np.cumsum(new.ravel()).reshape(new.shape) - 1
+            place[where[live]] = number[live] + base
+            count = new.sum(axis=1)
+            first = np.cumsum(count) - count
+            step, piece = np.nonzero(new)
+            symbol = seen[step, piece]
+            before = number[step - 1, piece] - first[step - 1]
+            states = np.empty((len(step), h), np.float32)
+            hid = cell = np.zeros((1, h), np.float32)
+            before[: count[0]] = 0
+            most = int(count.max())
+            z, given, room = np.empty((most, 4 * h), np.float32), np.empty((most, 4 * h), np.float32), np.empty((most, h), np.float32)
+            for f, n in zip(first.tolist(), count.tolist()):
+                old = before[f : f + n]
+                hid, cell = hid.take(old, axis=0), cell.take(old, axis=0)
+                g, x, r = z[:n], given[:n], room[:n]
+                np.matmul(hid, recurrent, out=g)
+                table.take(symbol[f : f + n], axis=0, out=x, mode="clip")
+                g += x
+                np.tanh(g, out=g)
+                np.multiply(cell, g[:, h : 2 * h], out=r)
+                cell += r
+                np.multiply(g[:, :h], g[:, 3 * h :], out=r)
+                r += g[:, 3 * h :]
+                cell += r
                 cell *= 0.5
-                np.tanh(cell, out=room)
-                hid = states[step]
-                np.multiply(z[:, 2 * h : 3 * h], room, out=hid)
-                hid += room
-            part = (states.reshape(t * n, h) @ self.out[side * h : side * h + h]).reshape(t, n, TAGS)
-            emissions += part if side == 0 else part[turn.T, np.arange(n)]
-        emissions += self.bias
-        return emissions
-
-    def may_hold(self, emissions: np.ndarray) -> bool:
-        """False if the best tag sequence of a sentence (time, tags) is certainly 'outside' throughout: every character
-        prefers 'outside' by more than any transitions could give back."""
-        gain = max(float(self.trans.max() - self.trans[0, 0]), float(self.first.max() - self.first[0]), float(self.last.max() - self.last[0]), 0.0)
-        return bool((emissions[:, 1:].max(axis=1) - emissions[:, 0]).max() > -2 * gain)
+                np.tanh(cell, out=r)
+                hid = states[f : f + n]
+                np.multiply(g[:, 2 * h : 3 * h], r, out=hid)
+                hid += r
+            values.append(states @ out)
+            base += len(step)
+        return place, np.concatenate(values)
+
+    def holds(self, emissions: Iterator[np.ndarray], lengths: np.ndarray) -> np.ndarray:
+        """Is the best tag sequence of a sentence another than 'outside' throughout? Emissions come step by step (batch,
+        tags); scores only, so that the search for the path itself is left to the few sentences that hold something."""
+        n, last, rest = len(lengths), self.last[:, None], np.zeros(len(lengths), bool)
+        score = calm = None
+        both = np.empty((TAGS, TAGS, n), np.float32)
+        trans = self.trans[:, :, None]
+        for step, e in enumerate(emissions):
+            if step:
+                np.add(score[:, None, :], trans, out=both)
+                score = both.max(axis=0)
+                calm = calm + self.trans[0, 0]
+            else:
+                score, calm = np.repeat(self.first[:, None], n, axis=1), np.repeat(self.first[0], n)
+            score += e.T
+            calm += e[:, 0]
+            done = np.flatnonzero(lengths == step + 1)
+            if len(done):
+                rest[done] = (score[:, done] + last).max(axis=0) > calm[done] + self.last[0]
+        return rest
 
     def viterbi(self, emissions: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """Best tags (batch, time) of padded emissions (time, batch, tags)."""
@@ -233,42 +286,34 @@ class Tagger:
             tag = back[step][np.arange(n), tag]
         return path
 
-    def tags(self, sentences: list[np.ndarray]) -> list[np.ndarray]:
-        """Tag of every character of every sentence (arrays of symbols)."""
-        pieces: list[tuple[int, int, int]] = []
-        for i, s in enumerate(sentences):
-            at = 0
-            while True:
-                pieces.append((i, at, min(at + WINDOW, len(s))))
-                if at + WINDOW >= len(s):
-                    break
-                at += WINDOW - OVERLAP
-        emissions = [np.zeros((len(s), TAGS), np.float32) for s in sentences]
-        order = sorted(range(len(pieces)), key=lambda p: pieces[p][2] - pieces[p][1])
-        for b in range(0, len(order), BATCH):
-            group = [pieces[p] for p in order[b : b + BATCH]]
-            width = max(e - a for _, a, e in group)
-            symbols = np.zeros((len(group), width), np.uint8)
-            for row, (i, a, e) in enumerate(group):
-                symbols[row, : e - a] = sentences[i][a:e]
-            scored = self.scores(symbols)
-            for row, (i, a, e) in enumerate(group):
-                # Each character belongs to the window in which it lies deepest.
-                x = a + OVERLAP // 2 if a else 0
-                y = e - OVERLAP // 2 if e < len(sentences[i]) else e
-                emissions[i][x:y] = scored[x - a : y - a, row]
-        out: list[np.ndarray] = [np.zeros(len(s), np.int8) for s in sentences]
-        order = sorted((i for i in range(len(sentences)) if self.may_hold(emissions[i])), key=lambda i: len(sentences[i]))
-        for b in range(0, len(order), BATCH):
-            group = order[b : b + BATCH]
-            lengths = np.array([len(sentences[i]) for i in group])
-            block = np.zeros((lengths.max(), len(group), TAGS), np.float32)
-            for row, i in enumerate(group):
-                block[: lengths[row], row] = emissions[i]
-            path = self.viterbi(block, lengths)
-            for row, i in enumerate(group):
-                out[i] = path[row, : lengths[row]]
-        return out
+    def tags(self, symbols: np.ndarray, start: np.ndarray, end: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """(sentence, tag of each of its characters) of the sentences with any tag but 'outside'."""
+        # Windows that overlap; each character belongs to the window in which it lies deepest.
+        more = np.maximum(-(-(end - start - WINDOW) // (WINDOW - OVERLAP)), 0)
+        of = np.repeat(np.arange(len(start)), more + 1)
+        at = start[of] + (WINDOW - OVERLAP) * (np.arange(len(of)) - np.repeat(np.cumsum(more + 1) - more - 1, more + 1))
+        to = np.minimum(at + WINDOW, end[of])
+        size = to - at
+        offset = np.cumsum(size) - size
+        slots = np.repeat(at - offset, size) + np.arange(int(size.sum()))
+        own = (slots >= np.repeat(np.where(at > start[of], at + OVERLAP // 2, at), size)) & (slots < np.repeat(np.where(to < end[of], to - OVERLAP // 2, to), size))
+        sides = []
+        for side in (0, 1):
+            place, values = self.states(symbols[slots], offset, offset + size, side)
+            sides.append((place[own], values + self.bias if side else values))
+        begin = np.cumsum(end - start) - (end - start)
+        for group in _groups(np.arange(len(start)), end - start):
+            length = (end - start)[group]
+            steps = np.arange(int(length[-1]))[:, None]
+            where = np.where(steps < length, begin[group] + steps, 0)
+            at, to = (place[where] for place, _ in sides)
+            emissions = lambda which: (sides[0][1].take(a[which], axis=0) + sides[1][1].take(b[which], axis=0) for a, b in zip(at, to))
+            found = np.flatnonzero(self.holds(emissions(slice(None)), length)) if len(steps) <= LONG else np.arange(len(group))
+            if len(found):
+                path = self.viterbi(np.stack(list(emissions(found))), length[found])
+                for i, n, tags in zip(group[found].tolist(), length[found].tolist(), path):
+                    if tags[:n].any():
+                        yield i, tags[:n]
 
 
 @lru_cache(maxsize=2)
@@ -333,21 +378,21 @@ def settled(text: str, start: int, end: int, kind: str) -> tuple[int, int]:
 def found_in(texts: pa.Array) -> list[tuple[int, int, int, str, str]]:
     """(row, start, end, kind, string) of all findings of a string array."""
     model, table, out = tagger(), symbol_table(), []
-    for row, cps, off, text in vec.chunks(texts):
-        rows, start, end = worth_reading(cps, off, text)
-        if not len(rows):
+    for row, cps, off, text in vec.chunks(texts, POOL):
+        if not len(cps):
             continue
-        symbols = table[cps]
-        for r, s, e, tags in zip(rows.tolist(), start.tolist(), end.tolist(), model.tags([symbols[s:e] for s, e in zip(start, end)])):
-            if not tags.any():
-                continue
-            sentence = text[s:e]
+        hashes, _, s, e = vec.words(cps, off)
+        start = sentences(cps, off, hashes, s, e)
+        end = np.append(start[1:], len(cps))
+        for i, tags in model.tags(table[cps], start, end):
+            a0, sentence = int(start[i]), text[start[i] : end[i]]
+            r = int(np.searchsorted(off, a0, side="right")) - 1
             for a, b, kind in spans(tags):
                 a, b = settled(sentence, a, b, kind)
                 if b > a:
-                    base = s - int(off[r])
+                    base = a0 - int(off[r])
                     out.append((row + r, base + a, base + b, kind, sentence[a:b]))
-    return out
+    return sorted(out)
 
 
 def findings(df: DataFrame, key: str, text: str) -> DataFrame:

@@ -73,8 +73,8 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers["pow"][:n], _powers["inv"][:n]
 
 
-def chunks(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, str]]:
-    """Split a string array into pieces of about CHUNK_CHARS: first row, code points, row offsets, the joined string.
+def chunks(texts: pa.Array, size: int | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray, str]]:
+    """Split a string array into pieces of about ``size`` (CHUNK_CHARS) bytes: first row, code points, row offsets, the joined string.
     Nulls count as empty texts."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
@@ -87,7 +87,7 @@ def chunks(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, str]]
     raw = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
     row = 0
     while row < n:
-        end = int(np.searchsorted(offsets, offsets[row] + CHUNK_CHARS, side="right")) - 1
+        end = int(np.searchsorted(offsets, offsets[row] + (size or CHUNK_CHARS), side="right")) - 1
         end = min(max(end, row + 1), n)
         part = raw[offsets[row] : offsets[end]]
         text = part.tobytes().decode("utf-8")

@@ -217,6 +217,50 @@ def test_sentences_are_read_by_their_form():
     assert [joined[a:b].strip() for a, b in zip(start, end)] == [t + "." for t in text[:-1].split(". ")[:4]]
 
 
+def test_every_sentence_is_given_to_the_network(monkeypatch):
+    """Also those without capitals, digits or words of any list, in every row and piece of the table."""
+    read = []
+
+    class Reader:
+        def tags(self, symbols, start, end):
+            read.append((symbols, start, end))
+            return iter(())
+
+    monkeypatch.setattr(pii, "tagger", Reader)
+    monkeypatch.setattr(pii, "POOL", 60)
+    texts = ["the team meets every day. we like calm people.\nA b", None, "", "ask for zofia trelawick when you arrive", "x"]
+    assert pii.found_in(pa.array(texts)) == []
+    assert len(read) > 1 and sum(len(s) for s, _, _ in read) == sum(len(t or "") for t in texts)
+    for symbols, start, end in read:
+        assert start[0] == 0 and end[-1] == len(symbols) and (start[1:] == end[:-1]).all()
+
+
+def test_findings_in_sentences_of_any_form():
+    if not os.path.exists(pii.WEIGHTS):
+        pytest.skip("not trained yet")
+    text = "the letter came from gerald okafor-lindqvist last week"
+    _, cps, off, joined = next(vec.chunks(pa.array([text])))
+    assert not len(pii.worth_reading(cps, off, joined)[0])
+    assert [(f[3], f[4]) for f in pii.found_in(pa.array([text]))] == [("NAME", "gerald okafor-lindqvist")]
+
+
+def test_shared_states_change_no_tag(monkeypatch):
+    """Sentences that begin and end alike, and a long one in windows, against each sentence read alone."""
+    if not os.path.exists(pii.WEIGHTS):
+        pytest.skip("not trained yet")
+    from sievework.llm.pii_train import HeldOut
+
+    maker = HeldOut(5)
+    texts = [maker.example()[0] for _ in range(60)]
+    texts += [t[: len(t) // 2] + u[len(u) // 2 :] for t, u in zip(texts, texts[1:])] + texts[:9] + [" and ".join(texts[:12])]
+    alone = [(i, *f[1:]) for i, t in enumerate(texts) for f in pii.found_in(pa.array([t]))]
+    assert len(alone) > 40 and pii.found_in(pa.array(texts)) == alone
+    monkeypatch.setattr(pii, "ROWS", 7)
+    monkeypatch.setattr(pii, "BATCH", 5)
+    monkeypatch.setattr(pii, "CELLS", 400)
+    assert pii.found_in(pa.array(texts)) == alone
+
+
 def test_findings_and_placeholders(spark):
     if not os.path.exists(pii.WEIGHTS):
         pytest.skip("not trained yet")
