@@ -261,6 +261,27 @@ def test_shared_states_change_no_tag(monkeypatch):
     assert pii.found_in(pa.array(texts)) == alone
 
 
+def test_network_takes_a_step_for_a_token(monkeypatch):
+    """Each way no more steps than there are tokens, in sentences that share nothing; no token is left out."""
+    if not os.path.exists(pii.WEIGHTS):
+        pytest.skip("not trained yet")
+    text = "Bring warm clothing on Monday.\nSeveral engineers inspect the turbines. Reach Odalys Fenwright at odalys@fenwright.example, or 0113 496 0801!"
+    read = []
+    states = pii.Tagger.states
+
+    def counted(self, *args):
+        place, values = states(self, *args)
+        read.append((len(set(place.tolist())), len(values)))
+        return place, values
+
+    monkeypatch.setattr(pii.Tagger, "states", counted)
+    found = [(f[3], f[4]) for f in pii.found_in(pa.array([text]))]
+    assert found == [("NAME", "Odalys Fenwright"), ("EMAIL", "odalys@fenwright.example"), ("PHONE", "0113 496 0801")]
+    import re
+
+    assert read == [(len(re.findall(r"\w+|[^\w\s]", text)),) * 2] * 2
+
+
 def test_findings_and_placeholders(spark):
     if not os.path.exists(pii.WEIGHTS):
         pytest.skip("not trained yet")
