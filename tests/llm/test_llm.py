@@ -265,7 +265,7 @@ def test_network_takes_a_step_for_a_token(monkeypatch):
     """Each way no more steps than there are tokens, in sentences that share nothing; no token is left out."""
     if not os.path.exists(pii.WEIGHTS):
         pytest.skip("not trained yet")
-    text = "Bring warm clothing on Monday.\nSeveral engineers inspect the turbines. Reach Odalys Fenwright at odalys@fenwright.example, or 0113 496 0801!"
+    text = "Bring warm clothing on Monday;\nSeveral engineers inspect the turbines. Reach Odalys Fenwright at odalys@fenwright.example, or 0113 496 0801!"
     read = []
     states = pii.Tagger.states
 
@@ -282,6 +282,18 @@ def test_network_takes_a_step_for_a_token(monkeypatch):
     assert read == [(len(re.findall(r"\w+|[^\w\s]", text)),) * 2] * 2
 
 
+def test_currencies_and_firms_are_no_names_and_whole_cases_are_found():
+    if not os.path.exists(pii.WEIGHTS):
+        pytest.skip("not trained yet")
+    texts = [
+        "The amounts mean Canadian dollars (hourly), before tax.", "To join Vantarro you first clean a kitchen.", "Ottoline Marbrook handles the enquiry (ottoline@post.test).",
+        "Please post it to 14 quarry lane in ashbeck before Friday.",
+    ]
+    assert [(f[0], f[3], f[4]) for f in pii.found_in(pa.array(texts))] == [
+        (2, "NAME", "Ottoline Marbrook"), (2, "EMAIL", "ottoline@post.test"), (3, "ADDRESS", "14 quarry lane in ashbeck"),
+    ]
+
+
 def test_findings_and_placeholders(spark):
     if not os.path.exists(pii.WEIGHTS):
         pytest.skip("not trained yet")
